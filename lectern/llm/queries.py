@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, terms
+from lectern.llm import leakage, neardup, terms
+from lectern.llm.components import components
 from lectern.tables import table
 
 
@@ -19,6 +20,25 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_terms(table(spark, d, "books"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of works with nearly the same title, authors and description."""
+    return neardup.similar_pairs(table(spark, d, "books"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each work that has a near-duplicate: the group it belongs to, and its number of similar works."""
+    works, reps, links = neardup.similar_works(table(spark, d, "books"))
+    ids = works.join(reps.select("c0", "c1", "rid"), ["c0", "c1"]).select("work_key", "rid")
+    sizes = ids.groupBy("rid").agg(F.count("*").alias("n"), F.min("work_key").alias("first_key"))
+    roots = components(links.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))).withColumnRenamed("id", "rid")
+    both = links.unionByName(links.select(F.col("rid_b").alias("rid_a"), F.col("rid_a").alias("rid_b")))
+    near = both.join(sizes.select(F.col("rid").alias("rid_b"), "n"), "rid_b").groupBy(F.col("rid_a").alias("rid")).agg(F.sum("n").alias("near"))
+    whole = sizes.join(roots, "rid", "left").join(near, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    names = whole.groupBy("root").agg(F.min("first_key").alias("group_key"))
+    whole = whole.join(names, "root").withColumn("links", F.col("n") - 1 + F.coalesce("near", F.lit(0)))
+    return ids.join(whole.filter("links > 0").select("rid", "group_key", "links"), "rid").select("work_key", "group_key", "links")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items with which they share ten consecutive words."""
     return p8_spans(spark, d).select("doc_id", F.explode("items").alias("item_id"))
@@ -29,5 +49,5 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
 SQL: dict[str, str] = {}
