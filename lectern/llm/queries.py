@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, neardup, terms
+from lectern.llm import leakage, neardup, overlap, terms
 from lectern.llm.components import components
 from lectern.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a training and an evaluation sample that are the same or nearly so."""
+    return overlap.split_overlaps(table(spark, d, "samples"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and source: its samples, those that recur in training, and the pairs."""
+    samples = table(spark, d, "samples")
+    ev = samples.filter(F.col("split").isin("valid", "test")).select("sample_id", "split", "source")
+    found = overlap.split_overlaps(samples)
+    ids = found.select(F.explode(F.array("sample_id_a", "sample_id_b")).alias("sample_id")).groupBy("sample_id").agg(F.count("*").alias("n"))
+    per = ev.join(ids, "sample_id", "left").groupBy("split", "source")
+    return per.agg(F.count("*").alias("samples"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms of books.subjects and books.genres that are too rare or too common."""
     return p4_terms(spark, d).filter(F.col("mark").isNotNull()).select("field_name", "term", "mark")
@@ -49,5 +64,5 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
 SQL: dict[str, str] = {}
