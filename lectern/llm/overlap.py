@@ -28,7 +28,7 @@ from lectern.session import written
 #: Word classes by the share of samples a word stands in: up to the first bound, up to the second, beyond.
 CLASS_BOUNDS = (0.05, 0.2)
 #: Segment lengths by class; the first level that gives enough segments is used for a sequence, the last always does.
-LEVELS = ((2, 3, 8), (1, 2, 4), (1, 1, 1))
+LEVELS = ((2, 3, 8), (2, 3, 6), (2, 3, 4), (2, 2, 4), (1, 2, 3), (1, 1, 1))
 SKETCH = 6
 #: Bits of the segment filter per segment, and its largest size; a fuller filter lets more pass, and stays right.
 FILTER_BITS, FILTER_MAX = 24, 1 << 28
