@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, neardup, overlap, terms
+from lectern.llm import leakage, neardup, overlap, pii, terms
 from lectern.llm.components import components
 from lectern.tables import table
 
@@ -64,5 +64,15 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kind and place of all personal information in documents."""
+    return pii.found(table(spark, d, "documents")).select("doc_id", "pii_kind", "start_pos")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with a typed placeholder for each case."""
+    return pii.redacted(table(spark, d, "documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
 SQL: dict[str, str] = {}
