@@ -12,7 +12,7 @@ import regex
 _EXACT = regex.compile(r"[\p{L}\p{Nd}]+")
 _FAST = re.compile(r"[^\W_]+")
 #: Characters that Python counts as alphanumeric but that are neither letters nor decimal digits.
-_RARE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(128, sys.maxunicode + 1) if chr(c).isalnum() and unicodedata.category(chr(c))[0] != "L" and unicodedata.category(chr(c)) != "Nd") + "]")
+_RARE = frozenset(chr(c) for c in range(128, sys.maxunicode + 1) if chr(c).isalnum() and unicodedata.category(chr(c))[0] != "L" and unicodedata.category(chr(c)) != "Nd")
 
 #: The same rule for regexp_extract_all in a plan.
 WORD_PATTERN = r"[\p{L}\p{Nd}]+"
@@ -27,7 +27,7 @@ def words(text: str | None) -> list[str]:
     """The words of text in order; none of a null text."""
     if not text:
         return []
-    found = _EXACT.findall(text) if not text.isascii() and _RARE.search(text) else _FAST.findall(text)
+    found = _FAST.findall(text) if text.isascii() or _RARE.isdisjoint(text) else _EXACT.findall(text)
     return " ".join(found).lower().split(" ") if found else []
 
 
