@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, neardup, overlap, pii, terms
+from lectern.llm import leakage, names, neardup, overlap, pii, terms
 from lectern.llm.components import components
 from lectern.tables import table
 
@@ -35,6 +35,18 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_terms(table(spark, d, "books"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings of one and the same person or organisation."""
+    return names.variant_pairs(table(spark, d, "authors"), table(spark, d, "books"))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with its entity, named by its smallest spelling, and the entity's number of spellings."""
+    e = names.entities(table(spark, d, "authors"), table(spark, d, "books"))
+    label = e.groupBy("entity").agg(F.min("name").alias("entity_name"), F.count("*").alias("spellings"))
+    return e.join(label, "entity").select("name", "entity_name", "spellings")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of works with nearly the same title, authors and description."""
     return neardup.similar_pairs(table(spark, d, "books"))
@@ -74,5 +86,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities, "p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
 SQL: dict[str, str] = {}
