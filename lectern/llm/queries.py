@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, names, neardup, overlap, pii, terms
+from lectern.llm import leakage, mojibake, names, neardup, overlap, pii, terms
 from lectern.llm.components import components
 from lectern.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Works and fields whose value was decoded with a wrong encoding."""
+    return mojibake.damaged(table(spark, d, "books")).select("work_key", "field_name").distinct()
+
+
+def p1_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged values with their restored text, where it can be known, and the chain of codecs."""
+    return mojibake.damaged(table(spark, d, "books"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training and an evaluation sample that are the same or nearly so."""
     return overlap.split_overlaps(table(spark, d, "samples"))
@@ -86,5 +96,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities, "p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p1_found": p1_found, "p1_repairs": p1_repairs, "p5_found": p5_found, "p5_entities": p5_entities, "p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
 SQL: dict[str, str] = {}
