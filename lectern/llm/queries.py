@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, mojibake, names, neardup, overlap, pii, terms
+from lectern.llm import leakage, mojibake, names, neardup, overlap, packing, pii, terms
 from lectern.llm.components import components
 from lectern.tables import table
 
@@ -76,6 +76,16 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(whole.filter("links > 0").select("rid", "group_key", "links"), "rid").select("work_key", "group_key", "links")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's container for each row of pack_specs."""
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and used share of each row of pack_specs."""
+    return packing.fill_report(p7_containers(spark, d), table(spark, d, "pack_specs"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items with which they share ten consecutive words."""
     return p8_spans(spark, d).select("doc_id", F.explode("items").alias("item_id"))
@@ -96,5 +106,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repairs": p1_repairs, "p5_found": p5_found, "p5_entities": p5_entities, "p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p7_containers": p7_containers, "p7_report": p7_report, "p1_found": p1_found, "p1_repairs": p1_repairs, "p5_found": p5_found, "p5_entities": p5_entities, "p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
 SQL: dict[str, str] = {}
