@@ -32,6 +32,8 @@ LEVELS = ((2, 3, 8), (2, 3, 6), (2, 3, 4), (2, 2, 4), (1, 2, 3), (1, 1, 1))
 SKETCH = 6
 #: Bits of the segment filter per segment, and its largest size; a fuller filter lets more pass, and stays right.
 FILTER_BITS, FILTER_MAX = 24, 1 << 28
+#: Places are told apart in the filter by buckets of 2 ** BUCKET words.
+BUCKET = 3
 _ROWS = 500
 
 
@@ -151,10 +153,42 @@ def _eval_segments(texts: DataFrame, shared, num: int, den: int) -> DataFrame:
     return texts.select("sample_id", "text").mapInArrow(run, _BASE + ", level int, segs array<struct<key:bigint,ord:int,place:int>>")
 
 
-def _filter_bits(keys: DataFrame, n: int) -> np.ndarray:
-    """A bit table that holds four cells of every key; its size is bounded by FILTER_MAX bits."""
+def _marks(key: np.ndarray, place: np.ndarray, side: int) -> np.ndarray:
+    """Filter keys of a substring at a place, counted from the left (side 0) or the right end (side 1)."""
+    where = (place >> BUCKET).astype(np.uint64) + np.uint64(side << 32)
+    return mix(key ^ mix(where * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)))
+
+
+def _filter_bits(seg: DataFrame, num: int, den: int) -> np.ndarray:
+    """A bit table of all segments with the places that they may have in a training sequence.
+
+    Of each segment, the places within the edits before it or, if fewer, within those
+    after it, in buckets, and the parity of the shift. Its size is bounded by FILTER_MAX bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _rows(whole):
+                n = np.repeat(b.column(0).to_numpy().astype(np.int64), b.column(1).value_lengths().to_numpy())
+                s = b.column(1).flatten()
+                key = s.field("key").to_numpy().view(np.uint64)
+                order, p = s.field("ord").to_numpy().astype(np.int64), s.field("place").to_numpy().astype(np.int64)
+                after = np.maximum((den - num) * (n + n * den // num) // (den + num) - order, -1)
+                key = mix(key + ((p + order) & 1).astype(np.uint64))
+                out = []
+                for side, at, reach in ((0, p, order), (1, n - p, after)):
+                    m = (order <= after) == (side == 0)
+                    lo, hi = np.maximum(at[m] - reach[m], 0) >> BUCKET, (at[m] + reach[m]) >> BUCKET
+                    cnt = np.where(reach[m] >= 0, hi - lo + 1, 0)
+                    first = np.cumsum(cnt) - cnt
+                    bucket = np.repeat(lo, cnt) + np.arange(cnt.sum()) - np.repeat(first, cnt)
+                    out.append(_marks(np.repeat(key[m], cnt), bucket << BUCKET, side))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["key"])
+
+    keys = seg.select("n", "segs").mapInArrow(run, "key bigint")
+    n = keys.count()
     bits = min(FILTER_MAX, 1 << max(16, math.ceil(math.log2(max(n, 1) * FILTER_BITS))))
-    cell = F.explode(F.array(*[F.expr(f"(key >> {8 * k}) & {bits - 1}") for k in range(4)]))
+    cell = F.explode(F.array(*[F.expr(f"shiftright(key, {8 * k}) & {bits - 1}") for k in range(4)]))
     words_ = keys.select(cell.alias("c")).groupBy(F.expr("c >> 6").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(c & 63 as int)))").alias("v"))
     got = words_.toArrow()
     table = np.zeros(bits >> 6, np.int64)
@@ -185,7 +219,8 @@ def _train_substrings(texts: DataFrame, shared, bits, kinds: list[tuple[int, int
                 for cls, ln in kinds:
                     at = np.flatnonzero((c == cls) & (left >= ln))
                     key = _substring_keys(h, at, cls, ln)
-                    ok = _may_hold(table, key)
+                    at_key = mix(key + (place[at] & 1).astype(np.uint64))
+                    ok = _may_hold(table, _marks(at_key, place[at], 0)) | _may_hold(table, _marks(at_key, n[row[at]] - place[at], 1))
                     rows.append(row[at[ok]]), places.append(place[at[ok]]), keys.append(key[ok])
                 r, p, k = np.concatenate(rows), np.concatenate(places), np.concatenate(keys)
                 order = np.argsort(r, kind="stable")
@@ -260,13 +295,14 @@ def split_overlaps(samples: DataFrame, num: int = 8, den: int = 10) -> DataFrame
     spark = samples.sparkSession
     shared = spark.sparkContext.broadcast(_common(texts))
     seg = written(_eval_segments(other, shared, num, den), "overlap-segments")
-    count, levels = seg.agg(F.sum(F.size("segs")), F.collect_set("level")).first()
+    levels = [r[0] for r in seg.select("level").distinct().collect()]
     kinds = sorted({(c, LEVELS[lv][c]) for lv in levels for c in range(3)})
-    segs = seg.select("c0", "c1", "n", *_SK, F.inline("segs")).distinct()
-    bits = spark.sparkContext.broadcast(_filter_bits(segs, count or 0))
+    # Copies are joined once: one row a class, before its segments are spread.
+    segs = seg.groupBy("c0", "c1").agg(*[F.first(c).alias(c) for c in ("n", *_SK, "segs")]).select("c0", "c1", "n", *_SK, F.inline("segs"))
+    bits = spark.sparkContext.broadcast(_filter_bits(seg, num, den))
     subs = written(_train_substrings(train, shared, bits, kinds or [(0, 1)]), "overlap-substrings")
     e = segs.select(F.col("key"), "ord", F.col("place").alias("p"), *[F.col(c).alias(f"{c}_a") for c in ("c0", "c1", "n", *_SK)])
-    t = subs.select("c0", "c1", "n", *_SK, F.inline("subs")).distinct()
+    t = subs.groupBy("c0", "c1").agg(*[F.first(c).alias(c) for c in ("n", *_SK, "subs")]).select("c0", "c1", "n", *_SK, F.inline("subs"))
     t = t.select(F.col("key"), F.col("place").alias("q"), *[F.col(c).alias(f"{c}_b") for c in ("c0", "c1", "n", *_SK)])
     apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in _SK)
     edits = f"(({den - num}) * (n_a + n_b)) div {den + num}"
