@@ -133,13 +133,13 @@ def labelled(books: DataFrame) -> DataFrame:
     """Adds genres, moods, era, length and audience labels (suffix _label) to books."""
     none = F.array().cast("array<string>")
     b = books.withColumn("subject_text", F.lower(F.array_join(F.coalesce("subjects", none), " | "))).withColumn("search_text", search_text())
-    b = b.withColumn("genre_label", labels.genres("subject_text"))
+    b = b.withColumn("genre_label", labels.genres("subject_text")).withColumn("direct_moods", labels.direct_moods("search_text"))
     return b.withColumns({
-        "mood_label": labels.moods("search_text", "genre_label"),
+        "mood_label": labels.moods("direct_moods", "genre_label"),
         "era_label": bucket("first_published", ERAS),
         "length_label": bucket("pages", LENGTHS, positive=True),
         "audience_label": labels.audience("genre_label", "search_text"),
-    }).drop("subject_text", "search_text")
+    }).drop("subject_text", "search_text", "direct_moods")
 
 
 def with_popularity(books: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.scalars import ascii_edges
+from lectern.functions.scalars import ascii_text
 
 
 @dataclass(frozen=True)
@@ -111,32 +111,37 @@ def any_pattern(patterns: tuple[str, ...]) -> str:
 
 
 def matched(text: Column | str, labels: tuple[Label, ...]) -> Column:
-    """Slugs of the labels whose patterns, and no vetoes, are in text; in the labels' order."""
+    """Slugs of the labels whose patterns, and no vetoes, are in text (see ascii_text); in the labels' order."""
     text = F.col(text) if isinstance(text, str) else text
     cells = []
     for x in labels:
-        hit = text.rlike(ascii_edges(any_pattern(x.patterns)))
+        hit = text.rlike(any_pattern(x.patterns))
         if x.veto:
-            hit &= ~text.rlike(ascii_edges(any_pattern(x.veto)))
+            hit &= ~text.rlike(any_pattern(x.veto))
         cells.append(F.when(hit, x.slug))
     return F.array_compact(F.array(*cells))
 
 
 def genres(subject_text: Column | str, limit: int = 4) -> Column:
     """The first genres of lower-cased subjects, specific ones first."""
-    return F.slice(matched(subject_text, GENRES_BY_RANK), 1, limit)
+    return F.slice(matched(ascii_text(subject_text), GENRES_BY_RANK), 1, limit)
 
 
-def moods(search_text: Column | str, genre_slugs: Column | str, limit: int = 4) -> Column:
-    """Moods found in the text; with fewer than two, those that the genres suggest follow. Each once."""
-    direct = matched(search_text, MOODS)
+def direct_moods(search_text: Column | str) -> Column:
+    """Moods found in lower-cased text."""
+    return matched(ascii_text(search_text), MOODS)
+
+
+def moods(direct: Column | str, genre_slugs: Column | str, limit: int = 4) -> Column:
+    """Direct moods; with fewer than two, those that the genres suggest follow. Each once."""
+    direct = F.col(direct) if isinstance(direct, str) else direct
     priors = F.array_compact(F.array(*[F.when(F.array_contains(genre_slugs, g.slug), m) for g in GENRES for m in g.moods]))
     return F.slice(F.array_distinct(F.when(F.size(direct) >= 2, direct).otherwise(F.concat(direct, priors))), 1, limit)
 
 
 def audience(genre_slugs: Column | str, search_text: Column | str) -> Column:
     text = F.col(search_text) if isinstance(search_text, str) else search_text
-    child = F.array_contains(genre_slugs, "cocuk") | text.rlike(ascii_edges(r"\bjuvenile\b|\bchildren"))
+    child = F.array_contains(genre_slugs, "cocuk") | ascii_text(text).rlike(r"\bjuvenile\b|\bchildren")
     young = F.array_contains(genre_slugs, "genc-yetiskin") | text.contains("young adult")
     return F.when(child, "cocuk").when(young, "genc").otherwise("yetiskin")
 
