@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.words import spans, words
 from lectern.llm.fmindex import FMIndex
+from lectern.session import spread
 
 #: Characters of evaluation text that are searched for together; more text is searched in several blocks.
 BLOCK_CHARS = 32_000_000
@@ -48,7 +49,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    docs = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
+    docs = spread(docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text"))
     parts = []
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.words import mix, words
 from lectern.llm.tokensets import WordHashes, class_id, parity_sketches
-from lectern.session import written
+from lectern.session import spread, written
 
 #: Word classes by the share of samples a word stands in: up to the first bound, up to the second, beyond.
 CLASS_BOUNDS = (0.05, 0.2)
@@ -291,6 +291,7 @@ def split_overlaps(samples: DataFrame, num: int = 8, den: int = 10) -> DataFrame
     """
     texts = samples.filter(F.col("sample_id").isNotNull()).select(F.col("sample_id").cast("bigint"), "split", F.coalesce(conversation(), F.lit("")).alias("text"))
     texts = texts.filter(F.col("split").isin("train", "valid", "test"))
+    texts = spread(texts)
     train, other = texts.filter("split = 'train'"), texts.filter("split <> 'train'")
     spark = samples.sparkSession
     shared = spark.sparkContext.broadcast(_common(texts))

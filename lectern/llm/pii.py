@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import spread
+
 ACCEPT = 0.6
 #: Characters before a span in which context words count, and after it.
 BEFORE, AFTER = 48, 30
@@ -239,7 +241,7 @@ def found(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["doc_id", "pii_kind", "start_pos", "end_pos"])
 
     slim = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
-    return slim.mapInArrow(run, "doc_id bigint, pii_kind string, start_pos bigint, end_pos bigint")
+    return spread(slim).mapInArrow(run, "doc_id bigint, pii_kind string, start_pos bigint, end_pos bigint")
 
 
 def redact(text: str | None) -> str | None:
@@ -260,4 +262,4 @@ def redacted(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text string")
+    return spread(docs.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(run, "doc_id bigint, text string")
