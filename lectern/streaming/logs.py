@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import shared_dir
+
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table (a file or a folder of part files) as a stream of its files."""
@@ -29,8 +31,9 @@ def first_seen(events: DataFrame, time: str, keys: list[str], late: str = "2 hou
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns its result table."""
+    """Runs a stream over what is there now and returns its result table; its state lies in the shared folder."""
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    where = f"{shared_dir(spark).rstrip('/')}/streams/{name}"
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
