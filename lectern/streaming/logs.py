@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def first_seen(events: DataFrame, time: str, keys: list[str], late: str = "2 hou
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now and returns its result table; its state lies in the shared folder."""
     spark = stream.sparkSession
-    where = f"{shared_dir(spark).rstrip('/')}/streams/{name}"
+    where = f"{shared_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
