@@ -21,60 +21,60 @@ class Label:
     moods: tuple[str, ...] = ()
 
 
-# Genres with their patterns (words bounded at ~), vetoes after !, suggested moods after >.
+# Genres with their patterns, the patterns that veto them, and the moods they suggest.
 _GENRES = r"""
-roman ~fiction~ ~novels?~ ~literary fiction~ > dusundurucu melankolik
-klasik ~classic(s|al literature)?~ ~world literature~ ~canon~ ~19th century~.*~fiction~ > dusundurucu melankolik
-bilim-kurgu ~science fiction~ ~sci-?fi~ ~space opera~ ~cyberpunk~ ~time travel~ ~extraterrestrial~ ~space flight~ ~robots?~ > epik dusundurucu gizemli
-fantastik ~fantasy~ ~magic~ ~wizards?~ ~dragons?~ ~mythical~ ~sword and sorcery~ ~epic fantasy~ ~imaginary places~ > epik maceraci umutlu
-distopya ~dystopi ~utopi ~totalitarian ~post-?apocalyp > karanlik dusundurucu gerilimli
-polisiye ~detective~ ~mystery~ ~crime~ ~murder~ ~whodunit~ ~private investigators?~ ~police procedural~ > gizemli gerilimli
-gerilim ~thriller~ ~suspense~ ~espionage~ ~spy stories~ ~conspirac > gerilimli karanlik
-korku ~horror~ ~ghost stories~ ~vampires?~ ~supernatural~ ~monsters?~ ~haunted~ > karanlik gerilimli
-macera ~adventure~ ~survival~ ~voyages and travels~ ~explorers?~ ~sea stories~ ~quests?~ > maceraci heyecanli
-romantik ~romance~ ~love stories~ ~courtship~ ~man-woman relationships~ > romantik sicak
-tarihi-kurgu ~historical fiction~ ~historical novel ~war stories~ > epik melankolik
-genc-yetiskin ~young adult~ ~teenagers?~ ~coming of age~ ~ya fiction~ ~high school~ > umutlu heyecanli
-cocuk ~juvenile fiction~ ~children'?s (stories|fiction|literature)~ ~picture books?~ ~fairy tales~ > sicak umutlu
-cizgi-roman ~comics?~ ~graphic novels?~ ~manga~ ~cartoons?~ > heyecanli komik
-siir ~poetry~ ~poems?~ ~verse~ ~sonnets?~ > melankolik dusundurucu
-tiyatro ~drama~ ~plays~ ~theater~ ~theatre~ ~tragedies~ > dusundurucu melankolik
-deneme ~essays?~ ~criticism~ ~literary collections~ > dusundurucu
-felsefe ~philosoph ~ethics~ ~metaphysics~ ~existentialism~ ~stoicism~ ~logic~ > dusundurucu
-psikoloji ~psychology~ ~psychological~ ~mental health~ ~cognitive~ ~psychiatry~ ~behavioral science~ ! ~psychological fiction~ ~mental healing~ > dusundurucu ilham-verici
-kisisel-gelisim ~self-?help~ ~self-?actualization~ ~personal development~ ~habits?~ ~motivation~ ~productivity~ > ilham-verici umutlu
-tarih ~history~ ~historiograph ~world war~ ~ancient~ ~civilization~ ~empire~ ! ~historical fiction~ ~art history~ ~history and criticism~ ~case histories~ > dusundurucu epik
-biyografi ~biograph ~autobiograph ~memoirs?~ ~diaries~ ~personal narratives~ > ilham-verici melankolik
-bilim ~science~ ~physics~ ~biology~ ~astronomy~ ~chemistry~ ~evolution~ ~mathematics~ ~neuroscience~ ! ~science fiction~ ~social science ~political science~ ~computer science~ ~library science~ ~military art and science~ ~science fantasy~ > dusundurucu ilham-verici
-teknoloji ~computer~ ~programming~ ~artificial intelligence~ ~software~ ~engineering~ ~internet~ ~data~ > dusundurucu
-is-ekonomi ~business~ ~economics~ ~management~ ~finance~ ~entrepreneurship~ ~marketing~ ~investment > ilham-verici
-politika ~politic ~government~ ~democracy~ ~social science~ ~international relations~ ~sociolog > dusundurucu karanlik
-din-maneviyat ~religion~ ~spiritual ~theolog ~islam~ ~christian ~buddhis ~meditation~ ~mysticism~ > sakinlestirici dusundurucu
-sanat ~art history~ ~fine arts?~ ~art criticism~ ~painting~ ~photograph ~architecture~ ~sculpture~ ~music~ ~cinema~ ~motion pictures?~ ~exhibitions~ ! ~military art~ ~art of war~ > ilham-verici
-gezi ~description and travel~ ~travel guides?~ ~guidebooks?~ ~travelers'? writings~ ~tourism~ > maceraci sakinlestirici
-yemek ~cooking~ ~cookbooks?~ ~recipes~ ~gastronom > sicak sakinlestirici
-mizah ~humor~ ~satire~ ~comic fiction~ ~wit~ ~parody~ > komik
-saglik ~health~ ~medicine~ ~fitness~ ~nutrition~ ~diet~ > ilham-verici sakinlestirici
+roman :: \bfiction\b ; \bnovels?\b ; \bliterary fiction\b ::  :: dusundurucu melankolik
+klasik :: \bclassic(s|al literature)?\b ; \bworld literature\b ; \bcanon\b ; \b19th century\b.*\bfiction\b ::  :: dusundurucu melankolik
+bilim-kurgu :: \bscience fiction\b ; \bsci-?fi\b ; \bspace opera\b ; \bcyberpunk\b ; \btime travel\b ; \bextraterrestrial\b ; \bspace flight\b ; \brobots?\b ::  :: epik dusundurucu gizemli
+fantastik :: \bfantasy\b ; \bmagic\b ; \bwizards?\b ; \bdragons?\b ; \bmythical\b ; \bsword and sorcery\b ; \bepic fantasy\b ; \bimaginary places\b ::  :: epik maceraci umutlu
+distopya :: \bdystopi ; \butopi ; \btotalitarian ; \bpost-?apocalyp ::  :: karanlik dusundurucu gerilimli
+polisiye :: \bdetective\b ; \bmystery\b ; \bcrime\b ; \bmurder\b ; \bwhodunit\b ; \bprivate investigators?\b ; \bpolice procedural\b ::  :: gizemli gerilimli
+gerilim :: \bthriller\b ; \bsuspense\b ; \bespionage\b ; \bspy stories\b ; \bconspirac ::  :: gerilimli karanlik
+korku :: \bhorror\b ; \bghost stories\b ; \bvampires?\b ; \bsupernatural\b ; \bmonsters?\b ; \bhaunted\b ::  :: karanlik gerilimli
+macera :: \badventure\b ; \bsurvival\b ; \bvoyages and travels\b ; \bexplorers?\b ; \bsea stories\b ; \bquests?\b ::  :: maceraci heyecanli
+romantik :: \bromance\b ; \blove stories\b ; \bcourtship\b ; \bman-woman relationships\b ::  :: romantik sicak
+tarihi-kurgu :: \bhistorical fiction\b ; \bhistorical novel ; \bwar stories\b ::  :: epik melankolik
+genc-yetiskin :: \byoung adult\b ; \bteenagers?\b ; \bcoming of age\b ; \bya fiction\b ; \bhigh school\b ::  :: umutlu heyecanli
+cocuk :: \bjuvenile fiction\b ; \bchildren'?s (stories|fiction|literature)\b ; \bpicture books?\b ; \bfairy tales\b ::  :: sicak umutlu
+cizgi-roman :: \bcomics?\b ; \bgraphic novels?\b ; \bmanga\b ; \bcartoons?\b ::  :: heyecanli komik
+siir :: \bpoetry\b ; \bpoems?\b ; \bverse\b ; \bsonnets?\b ::  :: melankolik dusundurucu
+tiyatro :: \bdrama\b ; \bplays\b ; \btheater\b ; \btheatre\b ; \btragedies\b ::  :: dusundurucu melankolik
+deneme :: \bessays?\b ; \bcriticism\b ; \bliterary collections\b ::  :: dusundurucu
+felsefe :: \bphilosoph ; \bethics\b ; \bmetaphysics\b ; \bexistentialism\b ; \bstoicism\b ; \blogic\b ::  :: dusundurucu
+psikoloji :: \bpsychology\b ; \bpsychological\b ; \bmental health\b ; \bcognitive\b ; \bpsychiatry\b ; \bbehavioral science\b :: \bpsychological fiction\b ; \bmental healing\b :: dusundurucu ilham-verici
+kisisel-gelisim :: \bself-?help\b ; \bself-?actualization\b ; \bpersonal development\b ; \bhabits?\b ; \bmotivation\b ; \bproductivity\b ::  :: ilham-verici umutlu
+tarih :: \bhistory\b ; \bhistoriograph ; \bworld war\b ; \bancient\b ; \bcivilization\b ; \bempire\b :: \bhistorical fiction\b ; \bart history\b ; \bhistory and criticism\b ; \bcase histories\b :: dusundurucu epik
+biyografi :: \bbiograph ; \bautobiograph ; \bmemoirs?\b ; \bdiaries\b ; \bpersonal narratives\b ::  :: ilham-verici melankolik
+bilim :: \bscience\b ; \bphysics\b ; \bbiology\b ; \bastronomy\b ; \bchemistry\b ; \bevolution\b ; \bmathematics\b ; \bneuroscience\b :: \bscience fiction\b ; \bsocial science ; \bpolitical science\b ; \bcomputer science\b ; \blibrary science\b ; \bmilitary art and science\b ; \bscience fantasy\b :: dusundurucu ilham-verici
+teknoloji :: \bcomputer\b ; \bprogramming\b ; \bartificial intelligence\b ; \bsoftware\b ; \bengineering\b ; \binternet\b ; \bdata\b ::  :: dusundurucu
+is-ekonomi :: \bbusiness\b ; \beconomics\b ; \bmanagement\b ; \bfinance\b ; \bentrepreneurship\b ; \bmarketing\b ; \binvestment ::  :: ilham-verici
+politika :: \bpolitic ; \bgovernment\b ; \bdemocracy\b ; \bsocial science\b ; \binternational relations\b ; \bsociolog ::  :: dusundurucu karanlik
+din-maneviyat :: \breligion\b ; \bspiritual ; \btheolog ; \bislam\b ; \bchristian ; \bbuddhis ; \bmeditation\b ; \bmysticism\b ::  :: sakinlestirici dusundurucu
+sanat :: \bart history\b ; \bfine arts?\b ; \bart criticism\b ; \bpainting\b ; \bphotograph ; \barchitecture\b ; \bsculpture\b ; \bmusic\b ; \bcinema\b ; \bmotion pictures?\b ; \bexhibitions\b :: \bmilitary art\b ; \bart of war\b :: ilham-verici
+gezi :: \bdescription and travel\b ; \btravel guides?\b ; \bguidebooks?\b ; \btravelers'? writings\b ; \btourism\b ::  :: maceraci sakinlestirici
+yemek :: \bcooking\b ; \bcookbooks?\b ; \brecipes\b ; \bgastronom ::  :: sicak sakinlestirici
+mizah :: \bhumor\b ; \bsatire\b ; \bcomic fiction\b ; \bwit\b ; \bparody\b ::  :: komik
+saglik :: \bhealth\b ; \bmedicine\b ; \bfitness\b ; \bnutrition\b ; \bdiet\b ::  :: ilham-verici sakinlestirici
 """
 # Specific genres come first, general ones last.
 _FIRST = "bilim-kurgu fantastik distopya polisiye gerilim korku cizgi-roman siir tiyatro tarihi-kurgu mizah cocuk genc-yetiskin macera romantik".split()
 _LAST = "roman klasik".split()
 # Moods with their patterns.
 _MOODS = r"""
-heyecanli ~thriller~ ~action~ ~adventure~ ~chase~ ~fast-paced~ ~escapes~
-dusundurucu ~philosoph ~existential ~moral~ ~ethics~ ~ideas~ ~introspect ~consciousness~
-karanlik ~dark~ ~tragedy~ ~violence~ ~despair~ ~noir~ ~dystopi ~horror~ ~death~
-romantik ~romance~ ~love~ ~passion~ ~courtship~
-komik ~humor~ ~comed ~satire~ ~funny~ ~wit~
-sakinlestirici ~meditation~ ~mindfulness~ ~nature~ ~gardening~ ~slow~ ~cozy~ ~calm~
-ilham-verici ~inspiration~ ~motivation~ ~success~ ~courage~ ~perseverance~ ~hope~
-melankolik ~grief~ ~loss~ ~nostalgi ~loneliness~ ~melanchol ~sorrow~
-gerilimli ~suspense~ ~tension~ ~psychological thriller~ ~paranoia~
-sicak ~family~ ~friendship~ ~community~ ~heartwarming~ ~domestic fiction~
-epik ~epic~ ~saga~ ~heroes~ ~mytholog ~legends~ ~empire~ ~war~
-gizemli ~mystery~ ~secrets?~ ~puzzle~ ~enigma~ ~detective~ ~occult~
-umutlu ~hope~ ~redemption~ ~healing~ ~recovery~ ~optimis
-maceraci ~exploration~ ~voyages~ ~wilderness~ ~expedition~ ~treasure~
+heyecanli :: \bthriller\b ; \baction\b ; \badventure\b ; \bchase\b ; \bfast-paced\b ; \bescapes\b
+dusundurucu :: \bphilosoph ; \bexistential ; \bmoral\b ; \bethics\b ; \bideas\b ; \bintrospect ; \bconsciousness\b
+karanlik :: \bdark\b ; \btragedy\b ; \bviolence\b ; \bdespair\b ; \bnoir\b ; \bdystopi ; \bhorror\b ; \bdeath\b
+romantik :: \bromance\b ; \blove\b ; \bpassion\b ; \bcourtship\b
+komik :: \bhumor\b ; \bcomed ; \bsatire\b ; \bfunny\b ; \bwit\b
+sakinlestirici :: \bmeditation\b ; \bmindfulness\b ; \bnature\b ; \bgardening\b ; \bslow\b ; \bcozy\b ; \bcalm\b
+ilham-verici :: \binspiration\b ; \bmotivation\b ; \bsuccess\b ; \bcourage\b ; \bperseverance\b ; \bhope\b
+melankolik :: \bgrief\b ; \bloss\b ; \bnostalgi ; \bloneliness\b ; \bmelanchol ; \bsorrow\b
+gerilimli :: \bsuspense\b ; \btension\b ; \bpsychological thriller\b ; \bparanoia\b
+sicak :: \bfamily\b ; \bfriendship\b ; \bcommunity\b ; \bheartwarming\b ; \bdomestic fiction\b
+epik :: \bepic\b ; \bsaga\b ; \bheroes\b ; \bmytholog ; \blegends\b ; \bempire\b ; \bwar\b
+gizemli :: \bmystery\b ; \bsecrets?\b ; \bpuzzle\b ; \benigma\b ; \bdetective\b ; \boccult\b
+umutlu :: \bhope\b ; \bredemption\b ; \bhealing\b ; \brecovery\b ; \boptimis
+maceraci :: \bexploration\b ; \bvoyages\b ; \bwilderness\b ; \bexpedition\b ; \btreasure\b
 """
 # Subjects that call for a content note.
 CONTENT_FLAGS = {
@@ -86,18 +86,12 @@ CONTENT_FLAGS = {
 }
 
 
-def _patterns(text: str) -> tuple[str, ...]:
-    return tuple(r"\b" + p.strip().replace("~", r"\b") for p in text.split(" ~") if p.strip()) if text.strip() else ()
-
-
 def _read(table: str) -> tuple[Label, ...]:
     out = []
     for line in table.strip().splitlines():
-        rest, _, moods = line.partition(" > ")
-        rest, _, veto = rest.partition(" ! ")
-        slug, _, patterns = rest.partition(" ~")
-        rank = 1 if slug in _FIRST else 3 if slug in _LAST else 2
-        out.append(Label(slug, _patterns(patterns), _patterns(veto.lstrip("~")), rank, tuple(moods.split())))
+        slug, patterns, veto, moods = [*(c.strip() for c in line.split("::")), "", ""][:4]
+        lists = [tuple(p.strip() for p in c.split(" ; ") if p.strip()) for c in (patterns, veto)]
+        out.append(Label(slug, *lists, 1 if slug in _FIRST else 3 if slug in _LAST else 2, tuple(moods.split())))
     return tuple(out)
 
 
