@@ -107,4 +107,19 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p7_containers": p7_containers, "p7_report": p7_report, "p1_found": p1_found, "p1_repairs": p1_repairs, "p5_found": p5_found, "p5_entities": p5_entities, "p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
-SQL: dict[str, str] = {}
+_WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{Nd}}]+'), lambda w: lower(w))"
+_TALK = "array_to_string(list_transform(list_filter(messages, lambda m: m.role IN ('user', 'assistant')), lambda m: coalesce(m.content, '')), chr(10))"
+#: Brute force, for the small tables of the comparison.
+SQL: dict[str, str] = {
+    "p3_found": f"""WITH s AS (SELECT sample_id, split, list_distinct({_WORDS.format(_TALK)}) AS w FROM samples)
+SELECT least(a.sample_id, b.sample_id) AS sample_id_a, greatest(a.sample_id, b.sample_id) AS sample_id_b FROM s a JOIN s b ON a.split = 'train' AND b.split IN ('valid', 'test')
+WHERE len(a.w) > 0 AND 9 * len(list_intersect(a.w, b.w)) >= 4 * (len(a.w) + len(b.w))""",
+    "p6_found": f"""WITH n AS (SELECT * FROM books WHERE work_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY work_key ORDER BY snapshot_at DESC) = 1),
+x AS (SELECT work_key, {_WORDS.format("description")} AS d, {_WORDS.format("concat_ws(chr(10), title, array_to_string(list_filter(authors, lambda v: v IS NOT NULL), chr(10)))")} AS h FROM n WHERE description IS NOT NULL),
+s AS (SELECT work_key, list_distinct(list_concat(d, coalesce(h, []))) AS w FROM x WHERE len(d) >= 20)
+SELECT a.work_key AS work_key_a, b.work_key AS work_key_b FROM s a JOIN s b ON a.work_key < b.work_key AND 10 * len(a.w) >= 7 * len(b.w) AND 10 * len(b.w) >= 7 * len(a.w)
+WHERE 17 * len(list_intersect(a.w, b.w)) >= 7 * (len(a.w) + len(b.w))""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM d), ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
