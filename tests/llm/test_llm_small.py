@@ -42,6 +42,15 @@ def test_mojibake_single_byte_and_empty(spark):
     assert mojibake.damaged(books(spark, rows).limit(0)).count() == 0
 
 
+def test_mojibake_that_recurs(spark):
+    words_ = ["Rüya", "Makine", "Cinayet", "Deniz", "Köprü", "Gece", "Yolcu", "Bahçe", "Ayna", "Orman"]
+    good = [f"Bir {w} Düşü {n}" for w in words_ for n in range(30)] + [f"The quiet harbour {n} keeps its lantern through a long and patient winter." for n in range(900)]
+    bad = {f"b{i}": f"Bir {w} Düþü" for i, w in enumerate(words_)}
+    rows = [(f"c{i}", t, None) for i, t in enumerate(CLEAN + good)] + [(f"i{i}", f"Þættir úr {w}", None) for i, w in enumerate(words_)] + [(k, t, None) for k, t in bad.items()]
+    got = {r["work_key"]: r["restored"] for r in mojibake.damaged(books(spark, rows)).collect()}
+    assert got == {k: t.replace("þ", "ş") for k, t in bad.items()}
+
+
 # 3 -------------------------------------------------------------------------------------------------
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
