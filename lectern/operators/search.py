@@ -172,6 +172,68 @@ def dense_topk(vectors: DataFrame, key: str, queries: dict, k: int = 10) -> Data
     return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+#: Vectors a block, of the searched ones and of the queries.
+BLOCK, QUERY_BLOCK = 2048, 256
+
+
+def _blocks(vectors: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
+    """Vectors scaled to length 1, as blocks of equal dimension: dim, keys, values (as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lens = np.asarray(b.column(2).to_numpy(zero_copy_only=False))
+            for dim in np.unique(lens).tolist():
+                rows = b.filter(pa.array(lens == dim))
+                for at in range(0, rows.num_rows, size):
+                    part = rows.slice(at, size)
+                    v = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(part.num_rows, dim)
+                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                    keys = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], [f"{prefix}dim", f"{prefix}keys", f"{prefix}values"])
+
+    slim = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col(key).cast("bigint"), F.col("embedding").cast("array<double>"), F.size("embedding").alias("dim"))
+    return slim.mapInArrow(run, f"{prefix}dim int, {prefix}keys binary, {prefix}values binary")
+
+
+def dense_topk_each(vectors: DataFrame, key: str, queries: DataFrame, k: int = 10, itself: bool = True) -> DataFrame:
+    """query, key, score, place of the k nearest vectors by cosine for each row of queries, which may be a table of any size.
+
+    Blocks of queries meet blocks of vectors, each pair in one matrix product that hands
+    on its best k a query only; nothing is collected. Null vectors are left out, and
+    vectors of other lengths don't meet. itself tells whether a query may find itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qd, qk, qv, vd, vk, vv in zip(*[b.column(c).to_pylist() for c in ("q_dim", "q_keys", "q_values", "dim", "keys", "values")], strict=True):
+                if qd != vd:
+                    continue
+                names, keys = np.frombuffer(qk, np.int64), np.frombuffer(vk, np.int64)
+                s = np.round(np.frombuffer(qv).reshape(-1, qd) @ np.frombuffer(vv).reshape(-1, vd).T, 6)
+                if not itself:
+                    s[names[:, None] == keys[None, :]] = -np.inf
+                n = min(k, len(keys))
+                edge = np.partition(s, len(keys) - n, axis=1)[:, len(keys) - n]
+                i, j = np.nonzero((s >= edge[:, None]) & (s > -np.inf))  # ties at the edge stay for the final order
+                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(keys[j]), pa.array(s[i, j])], ["query", key, "score"])
+
+    pairs = _blocks(queries, key, QUERY_BLOCK, "q_").crossJoin(_blocks(vectors, key, BLOCK, ""))
+    best = pairs.mapInArrow(run, f"query bigint, {key} bigint, score double")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def nearest_each(items: DataFrame, queries: DataFrame, near: Column, order: list[Column], k: int) -> DataFrame:
+    """The k best items for each row of queries, another work with a common genre; queries' columns have the prefix q_.
+
+    near is a column over both, called nearness; order ranks the items of a query.
+    """
+    meets = (F.col("work_key") != F.col("q_work_key")) & F.coalesce(F.arrays_overlap(F.array_compact("genres"), F.array_compact("q_genres")), F.lit(False))
+    x = items.join(queries, meets).withColumn("nearness", near)
+    w = Window.partitionBy("q_work_key").orderBy(*order)
+    return x.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
 def ranked(hits: DataFrame, key: str) -> DataFrame:
     """key, place of a short list of hits by score."""
     return hits.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), key))).select(key, "place")

@@ -357,4 +357,52 @@ def retriever_overlap(s: SparkSession, d: str) -> DataFrame:
     return a.join(b, "doc_id").agg((F.count("*") / F.lit(12.0)).alias("overlap12"))
 
 
+#: The query set of searches: every row whose id is divisible by this, against all rows.
+EVERY = 100
+_DENSE_EACH = f"da AS (SELECT a.vec_id AS query, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % {EVERY} = 0)"
+
+
+def _each(s: SparkSession, d: str, itself: bool) -> DataFrame:
+    v = table(s, d, "embeddings")
+    return search.dense_topk_each(v, "vec_id", v.filter(F.col("vec_id") % EVERY == 0), 10, itself)
+
+
+@R.query("dense_topk_each", f"WITH {_DENSE_EACH} SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM da QUALIFY place <= 10")
+def dense_topk_each(s: SparkSession, d: str) -> DataFrame:
+    return _each(s, d, True)
+
+
+@R.query("similar_dense_each", f"WITH {_DENSE_EACH} SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM da WHERE query <> vec_id QUALIFY place <= 10")
+def similar_dense_each(s: SparkSession, d: str) -> DataFrame:
+    return _each(s, d, False)
+
+
+_EACH = f"{NEWEST}, o AS (SELECT * FROM nb WHERE regexp_extract(work_key, '[0-9]+')::BIGINT % {EVERY} = 0)"
+
+
+def _asked(books: DataFrame) -> DataFrame:
+    q = books.filter(F.regexp_extract("work_key", "[0-9]+", 0).try_cast("bigint") % EVERY == 0)
+    return q.select(*[F.col(c).alias(f"q_{c}") for c in ("work_key", "genres", "subjects", "era")])
+
+
+@R.query("similar_by_overlap_each", f"WITH {_EACH}, x AS (SELECT o.work_key AS query, nb.work_key, len(list_intersect(list_filter(coalesce(nb.subjects, []), lambda x: x IS NOT NULL), list_filter(coalesce(o.subjects, []), lambda x: x IS NOT NULL))) AS shared, nb.popularity FROM nb, o WHERE nb.work_key <> o.work_key AND list_has_any(nb.genres, o.genres)) SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, popularity DESC, work_key) AS place FROM x QUALIFY place <= 10")
+def similar_by_overlap_each(s: SparkSession, d: str) -> DataFrame:
+    b = _books(s, d)
+    near = overlap(F.array_compact("subjects"), F.array_compact("q_subjects"))
+    x = search.nearest_each(b, _asked(b), near, [F.desc("nearness"), F.desc("popularity"), F.col("work_key")], 10)
+    return x.select(F.col("q_work_key").alias("query"), "work_key", F.col("nearness").alias("shared"), "popularity", "place")
+
+
+_LOWER = "list_transform(list_filter(coalesce({}.subjects, []), lambda x: x IS NOT NULL), lambda x: lower(x))"
+
+
+@R.query("related_seed_each", f"WITH {_EACH}, x AS (SELECT o.work_key AS query, nb.work_key, len(list_intersect({_LOWER.format('nb')}, {_LOWER.format('o')})) + CASE WHEN nb.era = o.era THEN 0.5::DOUBLE ELSE 0 END AS nearness FROM nb, o WHERE nb.work_key <> o.work_key AND list_has_any(nb.genres, o.genres) AND {_INFO.replace('readers', 'nb.readers').replace('subjects', 'nb.subjects').replace('description', 'nb.description')}) SELECT *, row_number() OVER (PARTITION BY query ORDER BY nearness DESC, work_key) AS place FROM x QUALIFY place <= 10")
+def related_seed_each(s: SparkSession, d: str) -> DataFrame:
+    b = _books(s, d)
+    low = lambda c: F.transform(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))), F.lower)
+    near = overlap(low("subjects"), low("q_subjects")) + F.when(F.col("era") == F.col("q_era"), 0.5).otherwise(0.0)
+    x = search.nearest_each(b.filter(sampling.informative(3)), _asked(b), near, [F.desc("nearness"), F.col("work_key")], 10)
+    return x.select(F.col("q_work_key").alias("query"), "work_key", "nearness", "place")
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -53,3 +53,9 @@ def test_repaired_answers_keep_a_beginning(spark):
     rows = entry.queries()["repaired_answers"](spark, DIR).collect()
     assert rows and all(r["ids"].startswith(r["repaired_ids"]) for r in rows)
     assert sum(r["ids"] == r["repaired_ids"] for r in rows) >= 0.5 * len(rows)
+
+
+def test_searches_ask_for_every_hundredth_row(spark):
+    asked = {r["query"] for r in entry.queries()["dense_topk_each"](spark, DIR).collect()}
+    ids = {r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select("vec_id").collect()}
+    assert asked == {i for i in ids if i % 100 == 0} and len(asked) > 1
