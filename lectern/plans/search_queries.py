@@ -312,14 +312,23 @@ R.query("language_markers")(language_markers)
 
 
 def quality_gates(s: SparkSession, d: str) -> DataFrame:
-    """First failed gate of every document as a rationale for its own first 200 characters."""
-    x = table(s, d, "documents").select(F.substring("text", 1, 300).alias("why"), F.col("text").alias("source"))
-    return x.withColumn("problem", evaluate.first_problem("why", "source")).groupBy("problem").agg(F.count("*").alias("n"))
+    """First failed gate of every document's whole text as a rationale for itself."""
+    x = table(s, d, "documents").withColumn("problem", evaluate.first_problem("text", "text"))
+    return x.groupBy("problem").agg(F.count("*").alias("n"))
 
 
 R.query("quality_gates")(quality_gates)
 
 
+def answer_gates(s: SparkSession, d: str) -> DataFrame:
+    """First failed gate of every sample's whole answer as a rationale for its prompt, by task."""
+    x = _texts(s, d).withColumn("problem", evaluate.first_problem("answer", "prompt"))
+    return x.groupBy("task", "problem").agg(F.count("*").alias("n"))
+
+
+R.query("answer_gates")(answer_gates)
+
+
 @R.query("stage_select", f"WITH {_SAMPLES} SELECT sample_id, '{{\"ids\":[' || array_to_string(list_transform(ids, lambda x: '\"' || x || '\"'), ',') || ']}}' AS target FROM sz WHERE task = 'grounded_recommend'")
 def stage_select(s: SparkSession, d: str) -> DataFrame:
     x = _texts(s, d).filter("task = 'grounded_recommend'")

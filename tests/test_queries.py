@@ -59,3 +59,10 @@ def test_searches_ask_for_every_hundredth_row(spark):
     asked = {r["query"] for r in entry.queries()["dense_topk_each"](spark, DIR).collect()}
     ids = {r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select("vec_id").collect()}
     assert asked == {i for i in ids if i % 100 == 0} and len(asked) > 1
+
+
+def test_quality_gates_see_whole_texts(spark):
+    texts = [(r[0] or "").strip(" ") for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").collect()]
+    got = {r["problem"]: r["n"] for r in entry.queries()["quality_gates"](spark, DIR).collect()}
+    assert got["length"] == sum(not 25 <= len(t) <= 320 for t in texts) and sum(got.values()) == len(texts)
+    assert sum(r["n"] for r in entry.queries()["answer_gates"](spark, DIR).collect()) == spark.read.parquet(f"{DIR}/samples.parquet").count()
