@@ -147,6 +147,13 @@ def test_name_variants_link(spark):
     assert names.variant_pairs(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_name_typing_error_that_repeats(spark):
+    a = spark.createDataFrame([("Sidurepumppish, Katherine",)] * 7 + [("Katherine Sidurepumpish",)] * 2 + [("Thomas Sidurepumpish",)] * 3, "name string")
+    b = spark.createDataFrame([], "authors array<string>")
+    got = [tuple(r) for r in names.variant_pairs(a, b).collect()]
+    assert got == [("Katherine Sidurepumpish", "Sidurepumppish, Katherine")]
+
+
 def test_osa():
     assert [names.osa(a, b) for a, b in [("abc", "abc"), ("abc", "acb"), ("abc", "ab"), ("abc", "xbd"), ("abc", "xyz")]] == [0, 1, 1, 2, 3]
 
