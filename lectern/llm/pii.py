@@ -42,12 +42,16 @@ _NAME_WORD = rf"{_UP}[\w’'-]+"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _LOCAL = r"(?<![\w.+-])\w(?:[\w.+-]*\w)?"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|punkt|nokta|point)\s?[)\]}]\s?|\s(?:dot)\s)"
-_AT = r"(?:\s?[@＠]\s?|\s?[(\[{]\s?at\s?[)\]}]\s?)"
+_AT_SIGN = r"(?:[@＠]|[(\[{]\s?at\s?[)\]}])"
+_AT = rf"\s?{_AT_SIGN}\s?"
 _EMAILS = [
     re.compile(rf"{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})+"),
     re.compile(rf"{_LOCAL}\sat\s{_LABEL}(?:(?:\sdot\s|\s?\(dot\)\s?){_LABEL})+", re.I),
 ]
 
+#: Part of every address of each kind, so that texts without it can be left out.
+_EMAIL_HINTS = [re.compile(_AT_SIGN), re.compile(r"\sat\s", re.I)]
+
 _NOT_BEFORE, _NOT_AFTER = r"(?<![\w+/.,:-])(?<!\d )(?<!\()", r"(?![\w/]|[-.,:]\d)"
 _PHONES = [
     r"(?<!\w)\+\d{1,3}(?:[ .-]?\(0\))?(?:[ .-]?\d{1,5}){2,6}",
@@ -66,7 +70,8 @@ _PHONE = [re.compile(p + _NOT_AFTER) for p in _PHONES]
 _PHONE_WEAK = re.compile(rf"{_NOT_BEFORE}\d(?:[ .-]?\d){{6,13}}{_NOT_AFTER}")
 #: Context before a number ends at the number before it.
 _LAST_PART = re.compile(r"[^\d\n]*$")
-_DIGITS = re.compile(r"\d\d")
+#: Phone and id numbers have five digits at least.
+_DIGITS = re.compile(r"\d(?:\D*\d){4}")
 _PHONE_CUE = re.compile(r"(?i)\b(?:tel|tél|téléphone|telefon\w*|phone|mobile?|cep|fax|call|text|appelez|joindre|rufen|anrufen|ruf|akşam|arayın|numarasından|unter|whatsapp|sms)\b")
 
 _SEP = r"[ .-]?"
@@ -90,25 +95,29 @@ _NO_CUE = re.compile(r"(?i)\b(?:isbn|issn|ref|record no|order|batch|printed|shel
 _PLACE = rf"(?:\d{{4,5}} )?{_NAME_WORD}"
 _POST = r"(?: [A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2})"
 _UNIT = r"(?:, (?:Flat|Apt|Apartment|Suite|Unit)\.? ?\w+)"
+_STREET = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Drive|Court|Square|Terrace|Way|Close|Crescent)(?!\w)"
+_BOX = r"(?:P\.? ?O\.? ?Box|Postfach|Posta Kutusu|P\.?K\.?|B\.?P\.?|Boîte postale) ?\d"
+_RUE = r" (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|cours|route)"
+_STRASSE = r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer) \d"
+_SOKAK = r" (?:Caddesi|Cad\.|Cd\.|Sokağı|Sokak|Sok\.|Sk\.|Bulvarı|Blv\.)(?: No ?:?)? ?:? ?\d"
 _ADDRESSES = [
-    rf"(?<![\w/.-])\d{{1,5}}[A-Za-z]? (?:[NSEW]\. )?{_NAME_WORD} (?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Drive|Court|Square|Terrace|Way|Close|Crescent)(?!\w){_UNIT}?(?:, {_PLACE}(?:{_POST}|, {_NAME_WORD}| \d{{5}})?)?",
-    rf"(?<!\w)(?:P\.? ?O\.? ?Box|Postfach|Posta Kutusu|P\.?K\.?|B\.?P\.?|Boîte postale) ?\d+(?:, {_PLACE})?",
-    rf"(?<![\w/.-])\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|cours|route)(?: (?:de la|de|du|des))? (?:[dl][’'])?{_NAME_WORD}(?:, {_PLACE})?",
-    rf"(?<!\w)(?:(?:Am|An der|An den|Auf der|Im|In der|Zum|Zur) )?{_UP}\w*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer) \d{{1,4}} ?[a-z]?(?!\w)(?:, {_PLACE})?",
-    rf"(?<!\w)(?:{_NAME_WORD} Mah(?:allesi|\.),? )?{_NAME_WORD} (?:Caddesi|Cad\.|Cd\.|Sokağı|Sokak|Sok\.|Sk\.|Bulvarı|Blv\.)(?: No ?:?)? ?:? ?\d[\d/]*(?:\.? (?:Kat|Blok|Daire|D|K):? ?\w+(?:[:/]\w+)?)*,?(?: {_PLACE})?",
+    rf"(?<![\w/.-])\d{{1,5}}[A-Za-z]? (?:[NSEW]\. )?{_NAME_WORD} {_STREET}{_UNIT}?(?:, {_PLACE}(?:{_POST}|, {_NAME_WORD}| \d{{5}})?)?",
+    rf"(?<!\w){_BOX}\d*(?:, {_PLACE})?",
+    rf"(?<![\w/.-])\d{{1,4}}(?: ?(?:bis|ter|quater))?,?{_RUE}(?: (?:de la|de|du|des))? (?:[dl][’'])?{_NAME_WORD}(?:, {_PLACE})?",
+    rf"(?<!\w)(?:(?:Am|An der|An den|Auf der|Im|In der|Zum|Zur) )?{_UP}\w*{_STRASSE}\d{{0,3}} ?[a-z]?(?!\w)(?:, {_PLACE})?",
+    rf"(?<!\w)(?:{_NAME_WORD} Mah(?:allesi|\.),? )?{_NAME_WORD}{_SOKAK}[\d/]*(?:\.? (?:Kat|Blok|Daire|D|K):? ?\w+(?:[:/]\w+)?)*,?(?: {_PLACE})?",
 ]
 _ADDRESS = [re.compile(p) for p in _ADDRESSES]
+#: Of each pattern a part that it can't do without.
+_ADDRESS_HINTS = [re.compile(p) for p in (rf" {_STREET}", _BOX, rf"{_RUE} ", _STRASSE, _SOKAK)]
 _ADDRESS_CUE = re.compile(r"(?i)\b(?:live at|send it to|ship to|my home|address|adres\w*|adresse|anschrift|envoyez|bitte an|evim|yollayın|habite|wohne)\b")
-_ADDRESS_HINT = re.compile(r"(?:\d [NSEW]?\.? ?\w+ [SRLABDCTW]|Box|Postfach|Kutusu|rue|avenue|boulevard|place|chemin|impasse|allée|quai|cours|route|straße|strasse|str\.|weg |platz |allee |gasse |ring |damm |ufer |Cad|Sok|Bulvar)")
 
 _TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|M|Mme|Mlle|Frau|Herr|Sayın|Bay|Bayan)\.? )*"
-_CUE_BEFORE = re.compile(
-    r"(?i)(?:\bmy colleague|\bask for|\bsigned by|\bregards,|\bsincerely,|\byours,|\bcordialement,|\bgrüßen?,|\bsevgiler,|\bsaygılar(?:ımla)?,|\bsayın|\bkulüpten|\bkitabı bana|\bmme|\bm\.|\bfrau|\bherr|\bmr\.?|\bmrs\.?|\bdr\.|\bprof\.|\bmy name is|\bich heiße|\bje m[’']appelle)\s+"
-    + _TITLE
-    + "$"
-)
+_CUES = r"(?:\bmy colleague|\bask for|\bsigned by|\bregards,|\bsincerely,|\byours,|\bcordialement,|\bgrüßen?,|\bsevgiler,|\bsaygılar(?:ımla)?,|\bsayın|\bkulüpten|\bkitabı bana|\bmme|\bm\.|\bfrau|\bherr|\bmr\.?|\bmrs\.?|\bdr\.|\bprof\.|\bmy name is|\bich heiße|\bje m[’']appelle)\s"
+_CUE_BEFORE = re.compile(rf"(?i){_CUES}\s*" + _TITLE + "$")
 _CUE_AFTER = re.compile(r"(?i)[,.]?\s+(?:lent it to me|at the desk|for the book club|dikkatine|aradı|verdi\b|me l[’']a prêté|hat es mir)")
-_CUE_ANY = re.compile(r"(?i)\b(?:my colleague|ask for|signed by|regards,|cordialement,|grüße,|sevgiler,|sayın|kulüpten|kitabı bana|mme|frau|herr)\b")
+#: A cue anywhere; without word bounds, as the text before a name may be cut within a word.
+_CUE_ANY = re.compile("(?i)" + _CUES.replace(r"\b", ""))
 _NOT_SURNAME = frozenset("regards sincerely yours cordialement grüße grüßen sevgiler saygılar saygılarımla dear lieber liebe cher chère sayın dr prof mme frau herr".split())
 _SURNAME_AFTER = re.compile(rf"\s+(?:{_UP}\.?\s+)?({_NAME_WORD})")
 _LOWER_AFTER = re.compile(r"\s+([^\W\d_]{4,})")
@@ -151,11 +160,9 @@ def _spans(text: str) -> list[tuple[float, int, int, str]]:
     def near(m_start: int, m_end: int) -> tuple[str, str]:
         return text[max(0, m_start - BEFORE) : m_start], text[m_end : m_end + AFTER]
 
-    low_at = " at " in text or " AT " in text
-    if "@" in text or "＠" in text or "(at" in text or "[at" in text or "{at" in text or "( at" in text:
-        out += [(1.0, m.start(), m.end(), "email") for m in _EMAILS[0].finditer(text)]
-    if low_at:
-        out += [(0.95, m.start(), m.end(), "email") for m in _EMAILS[1].finditer(text)]
+    for score, p, hint in zip((1.0, 0.95), _EMAILS, _EMAIL_HINTS, strict=True):
+        if hint.search(text):
+            out += [(score, m.start(), m.end(), "email") for m in p.finditer(text)]
     if _DIGITS.search(text):
         for strength, pats in ((0.75, _PHONE), (0.35, [_PHONE_WEAK])):
             for p in pats:
@@ -176,8 +183,8 @@ def _spans(text: str) -> list[tuple[float, int, int, str]]:
                 score = 0.3 + 0.55 * bool(_ID_CUE.search(pre[-34:])) + 0.3 * _checked(m.group()) - 0.7 * bool(_NO_CUE.search(pre))
                 if score >= ACCEPT:
                     out.append((score + 0.001 * len(m.group()), m.start(), m.end(), "id_number"))
-    if _ADDRESS_HINT.search(text):
-        for p in _ADDRESS:
+    for p, hint in zip(_ADDRESS, _ADDRESS_HINTS, strict=True):
+        if hint.search(text):
             for m in p.finditer(text):
                 pre, _ = near(m.start(), m.end())
                 out.append((0.8 + 0.2 * bool(_ADDRESS_CUE.search(pre[-30:])) + 0.001 * len(m.group()), m.start(), m.end(), "address"))

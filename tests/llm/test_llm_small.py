@@ -317,3 +317,20 @@ def test_redaction_keeps_the_rest(spark):
     assert got[1] == "Tel: [PHONE] – bye" and got[2] is None and got[3] == "" and got[4].endswith("word [EMAIL]")
     assert [tuple(r)[:3] for r in pii.found(docs).orderBy("doc_id").collect()] == [(1, "phone", 5), (4, "email", 100000)]
     assert pii.found(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [(t, "address") for t in ("Lale Sk. No: 5, Ankara", "Lale Cd. 5", "Lale Blv. 12", "P.K. 45, Ankara", "PK 45", "B.P. 12", "BP 123, 75011 Paris", "Boîte postale 7", "12b Elm Street, London", "12 O'Neil Street, London", "7 bis, rue Bela", "Elmweg 3")]
+    + [(t, "email") for t in ("joe [ at ] x.org", "joe { at } x.org", "joe (at) x.org", "joe\nat x dot org", "joe At x dot org")]
+    + [("call +1 2 3 4 5 6 7", "phone"), ("my name is Xaver Foobar at the desk", "name")],
+)
+def test_pii_hints_let_every_pattern_through(text, kind):
+    assert [k for _, _, k in pii.find(text)] == [kind]
+    assert pii.redact(text).count(f"[{kind.upper()}]") == 1
+
+
+def test_pii_address_hints_hold_within_matches():
+    texts = ["12 N. Elm Street, Flat 3, London N1 2AB", "Posta Kutusu 9", "3 ter, avenue des Lilas, 75011 Paris", "Am Seeplatz 12 b, 10115 Berlin", "Gül Mah. Lale Sokağı No: 5/2"]
+    for p, hint, text in zip(pii._ADDRESS, pii._ADDRESS_HINTS, texts, strict=True):
+        assert hint.search(p.search(text).group())
