@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import all_of, overlap, unit
+from lectern.session import written
 
 RRF_K = 60
 
@@ -254,10 +255,30 @@ def hybrid(fused: DataFrame, items: DataFrame, key: str, match: Column, populari
     return items.join(fused, key).withColumn("total", F.round(total, 6)).orderBy(F.desc("total"), key).limit(pool)
 
 
-def browse(items: DataFrame, t: Target, k: int, seed: int | None = None) -> DataFrame:
+def retrieve(items: DataFrame, key: str, terms: Column, query: list[str], vectors: DataFrame, vector: list[float] | None, t: Target, pool: int = 40, seed: int | None = None) -> DataFrame:
+    """The items for a request, with fusion and total: hybrid search among those that pass the target's filters.
+
+    Excluded and failing items leave both lists before they are ranked, so the vectors
+    searched are those of passing items only. Without any hit, the best known passing
+    items take the place of the hits.
+    """
+    allowed = items.filter(passes(t))
+    lists = []
+    if query:
+        lists.append((ranked(BM25().search(items, key, terms, query, pool, passes(t)), key), 1.0))
+    if vector is not None:
+        near = dense_topk(vectors.join(allowed.select(key), key, "leftsemi"), key, {0: vector}, pool)
+        lists.append((near.select(key, "place"), 0.7))
+    fused = written(fuse(lists, key), "fused") if lists else None
+    if fused is None or fused.isEmpty():
+        fused = browse(items, t, pool, seed, key).select(key, F.col("rank_score").alias("fusion"))
+    return hybrid(fused, allowed, key, match_score(t), F.coalesce("popularity", F.lit(0.0)), pool)
+
+
+def browse(items: DataFrame, t: Target, k: int, seed: int | None = None, key: str = "work_key") -> DataFrame:
     """The best known items that pass; with a seed, shuffled a little, the same for every run."""
     jitter = 1.0 if seed is None else 0.75 + 0.5 * F.floor(unit("work_key", seed) * 1000) / 1000
-    return items.filter(passes(t)).withColumn("rank_score", F.round(F.coalesce("popularity", F.lit(0.0)) * jitter, 6)).orderBy(F.desc("rank_score"), "work_key").limit(k)
+    return items.filter(passes(t)).withColumn("rank_score", F.round(F.coalesce("popularity", F.lit(0.0)) * jitter, 6)).orderBy(F.desc("rank_score"), key).limit(k)
 
 
 def similar_by_overlap(items: DataFrame, work_key: str, k: int = 10) -> DataFrame:

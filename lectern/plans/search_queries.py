@@ -101,6 +101,31 @@ def hybrid_rank(s: SparkSession, d: str) -> DataFrame:
     return search.hybrid(_fused(s, d), table(s, d, "documents"), "doc_id", match, known, 20).select("doc_id", "total")
 
 
+REQUEST = search.Target(genres=("fantasy", "crime"), moods=("calm", "dark"), era="modern", languages=("tur", "eng"), exclude=("/works/OL777W",))
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    """Documents with the facts of the work that they are about."""
+    return table(s, d, "documents").filter(F.col("work_key").isNotNull()).select("doc_id", "work_key", "text").join(_books(s, d).drop("text"), "work_key")
+
+
+def hybrid_filtered(s: SparkSession, d: str) -> DataFrame:
+    """Hybrid search with a request's filters on all hits."""
+    vector = _vectors(s, d, [0]).get(0)
+    return search.retrieve(_items(s, d), "doc_id", T.search_terms("text"), QUERY, table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), vector, REQUEST).select("doc_id", "work_key", "fusion", "total")
+
+
+R.query("hybrid_filtered")(hybrid_filtered)
+
+
+def hybrid_browse(s: SparkSession, d: str) -> DataFrame:
+    """The same request with words that match nothing: the best known works that pass."""
+    return search.retrieve(_items(s, d), "doc_id", T.search_terms("text"), ["zzzz"], table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), None, REQUEST, seed=7).select("doc_id", "work_key", "fusion", "total")
+
+
+R.query("hybrid_browse")(hybrid_browse)
+
+
 def _sql_list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 

@@ -66,3 +66,20 @@ def test_quality_gates_see_whole_texts(spark):
     got = {r["problem"]: r["n"] for r in entry.queries()["quality_gates"](spark, DIR).collect()}
     assert got["length"] == sum(not 25 <= len(t) <= 320 for t in texts) and sum(got.values()) == len(texts)
     assert sum(r["n"] for r in entry.queries()["answer_gates"](spark, DIR).collect()) == spark.read.parquet(f"{DIR}/samples.parquet").count()
+
+
+def test_hybrid_hits_pass_the_filters(spark):
+    from lectern.functions import text as T
+    from lectern.operators import search
+
+    cols = "work_key string, doc_id bigint, text string, genres array<string>, moods array<string>, era string, length_bucket string, audience string, languages array<string>, rating_count bigint, popularity double"
+    rows = [(f"w{i}", i, "silent lantern" if i in (1, 2, 3, 5) else "other words", ["crime"], [], "modern" if i % 2 else "klasik", None, None, ["eng"], 5, i / 20) for i in range(12)]
+    items = spark.createDataFrame(rows, cols)
+    vectors = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(12)], "doc_id bigint, embedding array<double>")
+    t = search.Target(era="modern", exclude=("w3",))
+    ask = lambda q, v: {r["doc_id"] for r in search.retrieve(items, "doc_id", T.search_terms("text"), q, vectors, v, t, 3).collect()}
+    assert ask(["lantern"], None) == {1, 5}
+    assert ask([], [1.0, 0.0]) == {1, 5, 7}  # the nearest that pass, not those left of the nearest
+    assert ask(["nowhere"], None) == {7, 9, 11}  # the best known that pass
+    assert entry.queries()["hybrid_filtered"](spark, DIR).filter("work_key = '/works/OL777W'").count() == 0
+    assert entry.queries()["hybrid_browse"](spark, DIR).count() > 0
