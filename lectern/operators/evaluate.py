@@ -57,6 +57,12 @@ def distinct_n(texts: DataFrame, column: str, n: int = 2) -> DataFrame:
     return g.agg(F.count("*").alias("distinct_grams"), F.coalesce(F.sum("c"), F.lit(0)).alias("grams")).withColumn("share", F.round(F.col("distinct_grams") / F.nullif(F.col("grams"), F.lit(0)), 6))
 
 
+def copies(texts: DataFrame, key: str, others: DataFrame, other_key: str, column: str, n: int = 8) -> DataFrame:
+    """key, other_key of all pairs that share a run of n words; runs meet by their text."""
+    g = lambda x, k: x.select(k, F.explode(F.array_distinct(ngrams(words_of(column), n))).alias("g"))
+    return g(texts, key).join(g(others, other_key), "g").select(key, other_key).distinct()
+
+
 def first_problem(why: str, source: str, least: int = 25, most: int = 320, copied: int = 7) -> Column:
     """The first gate that a rationale fails: length, language, copy, formal; null if none."""
     text = F.trim(F.coalesce(why, F.lit("")))

@@ -52,8 +52,8 @@ def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
 
 
 def stemmed_terms(s: SparkSession, d: str) -> DataFrame:
-    """Stemmed terms of evaluation items with their counts (the stemmer has no SQL)."""
-    x = table(s, d, "eval_items").select("item_id", T.stems(T.search_terms("text")).alias("terms"))
+    """Stemmed terms of all documents with their counts (the stemmer has no SQL)."""
+    x = table(s, d, "documents").select("doc_id", T.stems(T.search_terms("text")).alias("terms"))
     return x.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -308,6 +308,17 @@ def distinct_n(s: SparkSession, d: str) -> DataFrame:
     return evaluate.distinct_n(table(s, d, "eval_items"), "text", 2)
 
 
+@R.query("distinct_n_documents", f"WITH x AS (SELECT {_WORDS.format('text')} AS w FROM documents), g AS (SELECT unnest({_GRAMS.format('w', 2)}) AS g FROM x) SELECT count(DISTINCT g) AS distinct_grams, count(*) AS grams, round(count(DISTINCT g) / count(*), 6) AS share FROM g")
+def distinct_n_documents(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.distinct_n(table(s, d, "documents"), "text", 2)
+
+
+@R.query("ngram_copy", f"WITH a AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items), x AS (SELECT doc_id, unnest({_GRAMS.format('w', 8)}) AS g FROM a), y AS (SELECT item_id, unnest({_GRAMS.format('w', 8)}) AS g FROM b) SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)")
+def ngram_copy(s: SparkSession, d: str) -> DataFrame:
+    """Documents and evaluation items that share a run of eight words, over whole texts."""
+    return evaluate.copies(table(s, d, "documents"), "doc_id", table(s, d, "eval_items"), "item_id", "text", 8)
+
+
 @R.query("sample_stats", "SELECT task, split, count(*) AS n, round(avg(meta.n_picks), 6) AS mean_picks, round(avg(len(meta.picked_keys)), 6) AS mean_keys, count(meta.style) AS styled FROM samples GROUP BY 1, 2")
 def sample_stats(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "samples").groupBy("task", "split")

@@ -83,3 +83,11 @@ def test_hybrid_hits_pass_the_filters(spark):
     assert ask(["nowhere"], None) == {7, 9, 11}  # the best known that pass
     assert entry.queries()["hybrid_filtered"](spark, DIR).filter("work_key = '/works/OL777W'").count() == 0
     assert entry.queries()["hybrid_browse"](spark, DIR).count() > 0
+
+
+def test_stemmed_terms_come_from_documents(spark):
+    from lectern.functions import text as T
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select(T.search_terms("text").alias("t"))
+    want = sum(len(r["t"] or ()) for r in docs.collect())
+    assert sum(r["n"] for r in entry.queries()["stemmed_terms"](spark, DIR).collect()) == want
