@@ -334,3 +334,9 @@ def test_pii_address_hints_hold_within_matches():
     texts = ["12 N. Elm Street, Flat 3, London N1 2AB", "Posta Kutusu 9", "3 ter, avenue des Lilas, 75011 Paris", "Am Seeplatz 12 b, 10115 Berlin", "Gül Mah. Lale Sokağı No: 5/2"]
     for p, hint, text in zip(pii._ADDRESS, pii._ADDRESS_HINTS, texts, strict=True):
         assert hint.search(p.search(text).group())
+
+
+def test_short_family_names_and_particles_link(spark):
+    a = spark.createDataFrame([("Deniz Kaya",)] * 9 + [("Kyaa, Deniz",), ("Deniz Kara",), ("Deniz Kara",), ("Deniz Kara",), ("van Dyke, Richard",), ("Richard van Dyke",)], "name string")
+    got = {tuple(r) for r in names.variant_pairs(a, spark.createDataFrame([], "authors array<string>")).collect()}
+    assert got == {("Deniz Kaya", "Kyaa, Deniz"), ("Richard van Dyke", "van Dyke, Richard")}
