@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.words import spans, words
+from lectern.llm.words import spans, words
 from lectern.llm.fmindex import FMIndex
 from lectern.session import spread
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.words import mix, words
+from lectern.llm.words import mix, words
 from lectern.llm.tokensets import WordHashes, class_id, list_column, members_pairs, parity_sketches
 from lectern.session import written
 

@@ -9,7 +9,7 @@ import pytest
 
 pytest.importorskip("lectern.llm")
 
-from lectern.functions.words import words  # noqa: E402
+from lectern.llm.words import words  # noqa: E402
 from lectern.llm import components, fmindex, leakage, mojibake, names, neardup, overlap, packing, pii, terms  # noqa: E402
 
 
