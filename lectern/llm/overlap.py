@@ -8,11 +8,14 @@ than k segments; a training sequence within k must hold one of them whole, at a
 position that the edits before and after it allow. Candidates are verified by banded
 dynamic programming. The fixed order puts words that stand in few samples first, and
 segments of commoner words are longer, so that segments are selective.
+
+What meets by shuffle are narrow rows only (a key, a place and a sample's number);
+sketches and texts join what is left. Nothing that grows with the data is broadcast
+by us.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,19 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.words import mix, words
 from lectern.llm.tokensets import WordHashes, class_id, parity_sketches
+from lectern.llm.words import mix, words
 from lectern.session import spread, written
 
 #: Word classes by the share of samples a word stands in: up to the first bound, up to the second, beyond.
 CLASS_BOUNDS = (0.05, 0.2)
 #: Segment lengths by class; the first level that gives enough segments is used for a sequence, the last always does.
-LEVELS = ((2, 3, 8), (2, 3, 6), (2, 3, 4), (2, 2, 4), (1, 2, 3), (1, 1, 1))
+LEVELS = ((2, 3, 6), (2, 2, 6), (1, 2, 4), (1, 1, 2), (1, 1, 1))
 SKETCH = 6
-#: Bits of the segment filter per segment, and its largest size; a fuller filter lets more pass, and stays right.
-FILTER_BITS, FILTER_MAX = 24, 1 << 28
-#: Places are told apart in the filter by buckets of 2 ** BUCKET words.
-BUCKET = 3
 _ROWS = 500
 
 
@@ -43,27 +42,45 @@ def conversation(messages: str = "messages") -> F.Column:
     return F.concat_ws("\n", F.transform(kept, lambda m: m["content"]))
 
 
-def _common(texts: DataFrame) -> dict:
-    """Class (1 or 2) of every word that stands in more than the first bound of all samples.
+_SK = [f"s{k}" for k in range(SKETCH)]
+_SCAN = ["word", "n", "sample_id", "train", "c0", "c1", *_SK]
+_SCAN_SCHEMA = "word string, n bigint, sample_id bigint, train boolean, c0 bigint, c1 bigint, " + ", ".join(f"{s} bigint" for s in _SK)
 
-    There are at most average set size / bound of them, whatever the input's size.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+def _scanned(texts: DataFrame) -> DataFrame:
+    """One reading of all texts: rows of partial word counts (word, n) and one row a sample (class id, size n, sketch)."""
+    types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * (2 + SKETCH)]
+
+    def batch(cols: dict, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(size, t) for c, t in zip(_SCAN, types, strict=True)], _SCAN)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(set(words(text)))
+        cache = WordHashes()
+        for whole in batches:
+            for b in _rows(whole):
+                sets = [set(words(t)) for t in b.column(2).to_pylist()]
+                for w in sets:
+                    seen.update(w)
+                n = np.array([len(w) for w in sets], np.int64)
+                sk = parity_sketches(np.array([cache[x] for w in sets for x in w], np.uint64), n, SKETCH)
+                cls = np.array([class_id(w) for w in sets], np.int64).reshape(-1, 2)
+                yield batch({"n": n, "sample_id": b.column(0), "train": b.column(1), "c0": cls[:, 0], "c1": cls[:, 1]} | dict(zip(_SK, sk, strict=True)), len(n))
             if len(seen) > 1_000_000:
-                yield out()
+                yield batch({"word": list(seen), "n": list(seen.values())}, len(seen))
                 seen.clear()
-        yield out()
+        yield batch({"word": list(seen), "n": list(seen.values())}, len(seen))
 
-    n = texts.count()
-    df = texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > CLASS_BOUNDS[0] * n)
+    return texts.select("sample_id", "train", "text").mapInArrow(run, _SCAN_SCHEMA)
+
+
+def _common(scan: DataFrame) -> dict:
+    """Class (1 or 2) of every word that stands in more than the first bound of all samples.
+
+    There are at most average set size / bound of them, whatever the input's size.
+    """
+    n = scan.filter(F.col("sample_id").isNotNull()).count()
+    df = scan.filter(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > CLASS_BOUNDS[0] * n)
     return {r[0]: 1 + (r[1] > CLASS_BOUNDS[1] * n) for r in df.collect()}
 
 
@@ -123,113 +140,74 @@ def _segments(h: np.ndarray, c: np.ndarray, n: np.ndarray, num: int, den: int) -
     return r, ordinal, place[at], key, level
 
 
-_SK = [f"s{k}" for k in range(SKETCH)]
-_BASE = "sample_id bigint, c0 bigint, c1 bigint, n int, " + ", ".join(f"{s} bigint" for s in _SK)
-
-
 def _rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for k in range(0, b.num_rows, _ROWS):
         yield b.slice(k, _ROWS)
 
 
-def _batch(b: pa.RecordBatch, h: np.ndarray, n: np.ndarray, ids: list, lists: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    cls = np.array(ids, np.int64).reshape(-1, 2)
-    cols = [b.column(0), pa.array(cls[:, 0]), pa.array(cls[:, 1]), pa.array(n, pa.int32()), *map(pa.array, parity_sketches(h, n, SKETCH)), *lists]
-    return pa.RecordBatch.from_arrays(cols, ["sample_id", "c0", "c1", "n", *_SK, *names])
+def _with_parity(key: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    return mix(key + (odd & 1).astype(np.uint64)).view(np.int64)
 
 
 def _eval_segments(texts: DataFrame, shared, num: int, den: int) -> DataFrame:
+    """level, key, ord, p (place), n (size), a (sample) of the first k + 1 segments of evaluation samples."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, cache = shared.value, WordHashes()
         for whole in batches:
             for b in _rows(whole):
-                h, c, n, ids = _sequences(b.column(1).to_pylist(), common, cache)
+                h, c, n, _ = _sequences(b.column(1).to_pylist(), common, cache)
                 row, ordinal, place, key, level = _segments(h, c, n, num, den)
-                cnt = np.bincount(row, minlength=len(n))
-                seg = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(ordinal, pa.int32()), pa.array(place, pa.int32())], ["key", "ord", "place"])
-                off = pa.array(np.concatenate(([0], np.cumsum(cnt))).astype(np.int32))
-                yield _batch(b, h, n, ids, [pa.array(level, pa.int32()), pa.ListArray.from_arrays(off, seg)], ["level", "segs"])
+                use = ordinal <= ((den - num) * (n + n * den // num) // (den + num))[row]
+                row, ordinal, place, key = row[use], ordinal[use], place[use], key[use]
+                # A first segment whole has exactly as many edits before it as segments, so its shift has their parity.
+                cols = [pa.array(level[row], pa.int32()), pa.array(_with_parity(key, place + ordinal)), *[pa.array(x, pa.int32()) for x in (ordinal, place, n[row])], b.column(0).take(pa.array(row))]
+                yield pa.RecordBatch.from_arrays(cols, ["level", "key", "ord", "p", "n", "a"])
 
-    return texts.select("sample_id", "text").mapInArrow(run, _BASE + ", level int, segs array<struct<key:bigint,ord:int,place:int>>")
+    return texts.select("sample_id", "text").mapInArrow(run, "level int, key bigint, ord int, p int, n int, a bigint")
 
 
-def _marks(key: np.ndarray, place: np.ndarray, side: int) -> np.ndarray:
-    """Filter keys of a substring at a place, counted from the left (side 0) or the right end (side 1)."""
-    where = (place >> BUCKET).astype(np.uint64) + np.uint64(side << 32)
-    return mix(key ^ mix(where * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)))
+def _levels_of(size: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which levels a partner of each training sample may use (rows by levels).
 
-
-def _filter_bits(seg: DataFrame, num: int, den: int) -> np.ndarray:
-    """A bit table of all segments with the places that they may have in a training sequence.
-
-    Of each segment, the places within the edits before it or, if fewer, within those
-    after it, in buckets, and the parity of the shift. Its size is bounded by FILTER_MAX bits.
+    A partner has x words more and y fewer, with x + y edits at most. It goes beyond a
+    level only if its segments there, at least size/length less what rounding and y take,
+    are fewer than it needs; the extreme points of (x, y) bound the difference.
     """
+    r, out = (den - num) / (den + num), np.ones((len(n), len(LEVELS)), bool)
+    g = r * (1 + den / num)
+    for lv, lens in enumerate(LEVELS[:-1]):
+        some = (size / np.array(lens)).sum(1) - sum(1 - 1 / x for x in lens)
+        more = max((g - 1 / max(lens)) * 2 * r / (1 - r), (1 / min(lens) - g) * 2 * r / (1 + r), 0.0)
+        out[:, lv + 1 :] &= (some < (g + more) * n + 1 + 1e-6)[:, None]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in _rows(whole):
-                n = np.repeat(b.column(0).to_numpy().astype(np.int64), b.column(1).value_lengths().to_numpy())
-                s = b.column(1).flatten()
-                key = s.field("key").to_numpy().view(np.uint64)
-                order, p = s.field("ord").to_numpy().astype(np.int64), s.field("place").to_numpy().astype(np.int64)
-                after = np.maximum((den - num) * (n + n * den // num) // (den + num) - order, -1)
-                key = mix(key + ((p + order) & 1).astype(np.uint64))
-                out = []
-                for side, at, reach in ((0, p, order), (1, n - p, after)):
-                    m = (order <= after) == (side == 0)
-                    lo, hi = np.maximum(at[m] - reach[m], 0) >> BUCKET, (at[m] + reach[m]) >> BUCKET
-                    cnt = np.where(reach[m] >= 0, hi - lo + 1, 0)
-                    first = np.cumsum(cnt) - cnt
-                    bucket = np.repeat(lo, cnt) + np.arange(cnt.sum()) - np.repeat(first, cnt)
-                    out.append(_marks(np.repeat(key[m], cnt), bucket << BUCKET, side))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["key"])
-
-    keys = seg.select("n", "segs").mapInArrow(run, "key bigint")
-    n = keys.count()
-    bits = min(FILTER_MAX, 1 << max(16, math.ceil(math.log2(max(n, 1) * FILTER_BITS))))
-    cell = F.explode(F.array(*[F.expr(f"shiftright(key, {8 * k}) & {bits - 1}") for k in range(4)]))
-    words_ = keys.select(cell.alias("c")).groupBy(F.expr("c >> 6").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(c & 63 as int)))").alias("v"))
-    got = words_.toArrow()
-    table = np.zeros(bits >> 6, np.int64)
-    table[got.column("w").to_numpy()] = got.column("v").to_numpy()
-    return table.view(np.uint64)
-
-
-def _may_hold(table: np.ndarray, key: np.ndarray) -> np.ndarray:
-    mask = np.uint64(len(table) * 64 - 1)
-    ok = np.ones(len(key), bool)
-    k = key.view(np.int64)
-    for s in range(4):
-        c = (k >> (8 * s)).view(np.uint64) & mask
-        ok &= (table[(c >> np.uint64(6)).astype(np.int64)] >> (c & np.uint64(63))) & np.uint64(1) == 1
-    return ok
-
-
-def _train_substrings(texts: DataFrame, shared, bits, kinds: list[tuple[int, int]]) -> DataFrame:
-    """Training samples with those of their substrings (by class and length) that may be segments."""
+
+def _train_substrings(texts: DataFrame, shared, levels: list[int], num: int, den: int) -> DataFrame:
+    """key, q (place + size * 2 ** 32), b (sample) of all substrings of training samples that may be a partner's segments."""
+    kinds = sorted({(c, LEVELS[lv][c]) for lv in levels for c in range(3)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, cache, table = shared.value, WordHashes(), bits.value
+        common, cache = shared.value, WordHashes()
         for whole in batches:
             for b in _rows(whole):
-                h, c, n, ids = _sequences(b.column(1).to_pylist(), common, cache)
+                h, c, n, _ = _sequences(b.column(1).to_pylist(), common, cache)
                 row, place, left = _runs(h, c, n)
+                size = np.zeros((len(n), 3), np.int64)
+                np.add.at(size, (row, c), 1)
+                may = _levels_of(size, n, num, den)
                 rows, places, keys = [], [], []
                 for cls, ln in kinds:
-                    at = np.flatnonzero((c == cls) & (left >= ln))
-                    key = _substring_keys(h, at, cls, ln)
-                    at_key = mix(key + (place[at] & 1).astype(np.uint64))
-                    ok = _may_hold(table, _marks(at_key, place[at], 0)) | _may_hold(table, _marks(at_key, n[row[at]] - place[at], 1))
-                    rows.append(row[at[ok]]), places.append(place[at[ok]]), keys.append(key[ok])
+                    wanted = may[:, [lv for lv in levels if LEVELS[lv][cls] == ln]].any(1)
+                    at = np.flatnonzero((c == cls) & (left >= ln) & wanted[row])
+                    rows.append(row[at]), places.append(place[at]), keys.append(_with_parity(_substring_keys(h, at, cls, ln), place[at]))
                 r, p, k = np.concatenate(rows), np.concatenate(places), np.concatenate(keys)
+                # One sample's rows stay together, which compresses well.
                 order = np.argsort(r, kind="stable")
-                subs = pa.StructArray.from_arrays([pa.array(k[order].view(np.int64)), pa.array(p[order], pa.int32())], ["key", "place"])
-                off = pa.array(np.concatenate(([0], np.cumsum(np.bincount(r, minlength=len(n))))).astype(np.int32))
-                out = _batch(b, h, n, ids, [pa.ListArray.from_arrays(off, subs)], ["subs"])
-                yield out.filter(pa.array(np.bincount(r, minlength=len(n)) > 0))
+                r, p, k = r[order], p[order], k[order]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p + (n[r] << 32)), b.column(0).take(pa.array(r))], ["key", "q", "b"])
 
-    return texts.select("sample_id", "text").mapInArrow(run, _BASE + ", subs array<struct<key:bigint,place:int>>")
+    return texts.select("sample_id", "text").mapInArrow(run, "key bigint, q bigint, b bigint")
 
 
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray) -> np.ndarray:
@@ -264,7 +242,7 @@ def banded_distance(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray) ->
 
 
 def _verified(pairs: DataFrame, shared, num: int, den: int) -> DataFrame:
-    """pairs: class ids and one text of either side; keeps those similar by num/den."""
+    """pairs: one text of either side; the class ids of those similar by num/den."""
     names = ["c0_a", "c1_a", "c0_b", "c1_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,13 +250,50 @@ def _verified(pairs: DataFrame, shared, num: int, den: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                ha, _, na, _ = _sequences(b.column("text_a").to_pylist(), common, cache)
-                hb, _, nb, _ = _sequences(b.column("text_b").to_pylist(), common, cache)
+                ha, _, na, ia = _sequences(b.column("text_a").to_pylist(), common, cache)
+                hb, _, nb, ib = _sequences(b.column("text_b").to_pylist(), common, cache)
                 k = (den - num) * (na + nb) // (den + num)
                 dist = banded_distance(np.split(ha, np.cumsum(na)[:-1]), np.split(hb, np.cumsum(nb)[:-1]), k)
-                yield b.select(names).filter(pa.array(dist <= k))
+                ids = np.concatenate((np.array(ia, np.int64), np.array(ib, np.int64)), 1)[dist <= k]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:, j]) for j in range(4)], names)
+
+    return pairs.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)).distinct()
 
-    return pairs.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+
+def class_links(samples: DataFrame, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(members: sample_id, train, c0, c1; links: c0_a, c1_a, c0_b, c1_b) of similar evaluation (a) and training (b) classes.
+
+    A class holds the samples of one side with equal sets of words; it is joined once,
+    by its smallest sample_id.
+    """
+    texts = samples.filter(F.col("sample_id").isNotNull() & F.col("split").isin("train", "valid", "test"))
+    texts = texts.select(F.col("sample_id").cast("bigint"), (F.col("split") == "train").alias("train"), F.coalesce(conversation(), F.lit("")).alias("text"))
+    texts = spread(texts)
+    scan = written(_scanned(texts), "overlap-scan")
+    shared = samples.sparkSession.sparkContext.broadcast(_common(scan))
+    rows = scan.filter(F.col("sample_id").isNotNull())
+    cls = ["train", "c0", "c1"]
+    first = rows.groupBy(*cls).agg(F.min("sample_id").alias("rid"))
+    # Samples that stand for no class; their texts aren't read again. The join is a broadcast only if the written table is small.
+    one = rows.select("sample_id", *cls).join(first, cls).groupBy("train", "sample_id").agg(F.max(F.col("sample_id") == F.col("rid")).alias("stands"))
+    copies = written(one.filter(~F.col("stands")).select("train", "sample_id"), "overlap-copies")
+    reps = texts.join(copies, ["train", "sample_id"], "left_anti")
+    seg = written(_eval_segments(reps.filter(~F.col("train")), shared, num, den), "overlap-segments")
+    levels = sorted(r[0] for r in seg.select("level").distinct().collect())
+    t = _train_substrings(reps.filter("train"), shared, levels or [0], num, den)
+    edits = f"(({den - num}) * (n + m)) div {den + num}"
+    shift = "(cast(q & 4294967295 as int) - p)"
+    # The rest of the edits comes after the segment.
+    fits = F.expr(f"{den} * n >= {num} * m and {den} * m >= {num} * n and abs({shift}) <= ord and abs((m - n) - {shift}) <= {edits} - ord")
+    met = seg.drop("level").join(t, "key").withColumn("m", F.expr("cast(shiftright(q, 32) as int)")).filter(fits)
+    cand = met.select("a", "b").repartition("b").dropDuplicates(["a", "b"])
+    sketch = lambda side, name: rows.filter(side).select(F.col("sample_id").alias(name), F.col("n").alias(f"n_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in _SK])
+    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in _SK)
+    near = cand.join(sketch(F.col("train"), "b"), "b").join(sketch(~F.col("train"), "a"), "a").filter(F.expr(f"{apart} <= (({den - num}) * (n_a + n_b)) div {den + num}"))
+    found = written(near.select("a", "b").distinct(), "overlap-candidates")
+    side = lambda which, x: texts.filter(which).select(F.col("sample_id").alias(x), F.col("text").alias(f"text_{x}"))
+    with_text = found.join(side(~F.col("train"), "a"), "a").join(side(F.col("train"), "b"), "b")
+    return rows.select("sample_id", *cls).distinct(), _verified(with_text.select("text_a", "text_b"), shared, num, den)
 
 
 def split_overlaps(samples: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
@@ -286,41 +301,23 @@ def split_overlaps(samples: DataFrame, num: int = 8, den: int = 10) -> DataFrame
 
     samples: sample_id, split ('train'; 'valid' or 'test'; other rows are no cases),
     messages. Null ids and splits are left out; null messages, roles and contents count
-    as no words, and a sample without words is like none. Copies are joined once and
-    expanded at the end, as all pairs are asked for. Other columns are ignored.
+    as no words, and a sample without words is like none. Repeated rows count once.
+    Copies are joined once and expanded at the end, as all pairs are asked for. Other
+    columns are ignored.
     """
-    texts = samples.filter(F.col("sample_id").isNotNull()).select(F.col("sample_id").cast("bigint"), "split", F.coalesce(conversation(), F.lit("")).alias("text"))
-    texts = texts.filter(F.col("split").isin("train", "valid", "test"))
-    texts = spread(texts)
-    train, other = texts.filter("split = 'train'"), texts.filter("split <> 'train'")
-    spark = samples.sparkSession
-    shared = spark.sparkContext.broadcast(_common(texts))
-    seg = written(_eval_segments(other, shared, num, den), "overlap-segments")
-    levels = [r[0] for r in seg.select("level").distinct().collect()]
-    kinds = sorted({(c, LEVELS[lv][c]) for lv in levels for c in range(3)})
-    # Copies are joined once: one row a class, before its segments are spread.
-    segs = seg.groupBy("c0", "c1").agg(*[F.first(c).alias(c) for c in ("n", *_SK, "segs")]).select("c0", "c1", "n", *_SK, F.inline("segs"))
-    bits = spark.sparkContext.broadcast(_filter_bits(seg, num, den))
-    subs = written(_train_substrings(train, shared, bits, kinds or [(0, 1)]), "overlap-substrings")
-    e = segs.select(F.col("key"), "ord", F.col("place").alias("p"), *[F.col(c).alias(f"{c}_a") for c in ("c0", "c1", "n", *_SK)])
-    t = subs.groupBy("c0", "c1").agg(*[F.first(c).alias(c) for c in ("n", *_SK, "subs")]).select("c0", "c1", "n", *_SK, F.inline("subs"))
-    t = t.select(F.col("key"), F.col("place").alias("q"), *[F.col(c).alias(f"{c}_b") for c in ("c0", "c1", "n", *_SK)])
-    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in _SK)
-    edits = f"(({den - num}) * (n_a + n_b)) div {den + num}"
-    # A first segment whole: exactly ord edits before it, so the shift has their parity, and the rest of the edits after it.
-    fits = F.expr(
-        f"e.key = t.key and {den} * n_a >= {num} * n_b and {den} * n_b >= {num} * n_a and abs(q - p) <= ord and (q - p - ord) % 2 = 0"
-        f" and abs((n_b - n_a) - (q - p)) <= {edits} - ord and {apart} <= {edits}"
-    )
-    cls = ["c0_a", "c1_a", "c0_b", "c1_b"]
-    found = written(e.alias("e").join(t.alias("t"), fits).select(*cls).distinct(), "overlap-candidates")
-    one_a = seg.groupBy(F.col("c0").alias("c0_a"), F.col("c1").alias("c1_a")).agg(F.min("sample_id").alias("id_a"))
-    one_b = subs.groupBy(F.col("c0").alias("c0_b"), F.col("c1").alias("c1_b")).agg(F.min("sample_id").alias("id_b"))
-    ids = found.join(one_a, cls[:2]).join(one_b, cls[2:])
-    with_text = ids.join(other.select(F.col("sample_id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
-    with_text = with_text.join(train.select(F.col("sample_id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
-    links = _verified(with_text.select(*cls, "text_a", "text_b"), shared, num, den)
-    a = seg.select(F.col("sample_id").alias("a"), F.col("c0").alias("c0_a"), F.col("c1").alias("c1_a"))
-    b = subs.select(F.col("sample_id").alias("b"), F.col("c0").alias("c0_b"), F.col("c1").alias("c1_b"))
-    pairs = links.join(a, cls[:2]).join(b, cls[2:])
+    members, links = class_links(samples, num, den)
+    a = members.filter(~F.col("train")).select(F.col("sample_id").alias("a"), F.col("c0").alias("c0_a"), F.col("c1").alias("c1_a"))
+    b = members.filter("train").select(F.col("sample_id").alias("b"), F.col("c0").alias("c0_b"), F.col("c1").alias("c1_b"))
+    pairs = links.join(a, ["c0_a", "c1_a"]).join(b, ["c0_b", "c1_b"])
     return pairs.select(F.least("a", "b").alias("sample_id_a"), F.greatest("a", "b").alias("sample_id_b"))
+
+
+def overlap_report(samples: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
+    """Per evaluation split and source: samples, those that recur in training, and the pairs, counted by class without expanding them."""
+    members, links = class_links(samples, num, den)
+    of_b = members.filter("train").groupBy(F.col("c0").alias("c0_b"), F.col("c1").alias("c1_b")).agg(F.count("*").alias("n"))
+    per = links.join(of_b, ["c0_b", "c1_b"]).groupBy(F.col("c0_a").alias("c0"), F.col("c1_a").alias("c1")).agg(F.sum("n").alias("n"))
+    ids = members.filter(~F.col("train")).join(per, ["c0", "c1"]).select("sample_id", "n")
+    ev = samples.filter(F.col("split").isin("valid", "test")).select(F.col("sample_id").cast("bigint"), "split", "source")
+    grouped = ev.join(ids, "sample_id", "left").groupBy("split", "source")
+    return grouped.agg(F.count("*").alias("samples"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
