@@ -1,8 +1,9 @@
 """Personal information in free text: find it, and replace it by typed placeholders (problem 9).
 
 Regular expressions propose spans, checksums and nearby context words raise or lower
-the score of each, and overlapping spans are settled by score. Every text is
-processed whole and alone, so nothing is shuffled.
+the score of each, and overlapping spans are settled by score. Names are scored by
+given names and contexts that are learned from all texts beforehand (namemodel). Every
+text is then processed whole and alone.
 """
 
 from __future__ import annotations
@@ -14,31 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.namemodel import CLOSINGS, LOWER_WORD, NAME_WORD, TITLES, UP, NameModel, contexts, folded, learned
 from lectern.session import spread
 
 ACCEPT = 0.6
 #: Characters before a span in which context words count, and after it.
 BEFORE, AFTER = 48, 30
 
-#: Given names common in English, Turkish, German and French texts (fixed values).
-GIVEN_NAMES = frozenset(
-    """Anaïs Anthony Ayşe Barbara Barış Benoît Björn Charles Colette Çağlar Deniz Dorothy Dörte Edward Elfriede Elizabeth
-    Emine Étienne Fatma Frances François Friedrich Geneviève George Gülşen Günther Harold Hatice Helen Hélène Ilse Iris
-    İbrahim James Johannes Joëlle Jürgen Katharina Katherine Kemal Laurence Leyla Luc Margaret Marguerite Matthias Mehmet
-    Nicholas Nurşen Odile Owen Ömer Patricia Pınar Quentin Raphaël Richard Rıfat Robert Sebastian Susan Süleyman Thérèse
-    Thomas Tuğba Ulrike Ursula Ünal Veysel Victoria William Wolfgang Yiğit Yvonne Zachary Zeynep""".split()
-)
-
-
-def _folded(word: str) -> str:
-    return word.replace("İ", "i").replace("I", "ı").lower().replace("ı", "i")
-
-
-_GIVEN = frozenset(_folded(n) for n in GIVEN_NAMES)
-_WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
-_UP = r"[^\W\d_a-zß-öø-ÿçğışöü]"  # an upper-case letter, near enough
-_NAME_WORD = rf"{_UP}[\w’'-]+"
-
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _LOCAL = r"(?<![\w.+-])\w(?:[\w.+-]*\w)?"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|punkt|nokta|point)\s?[)\]}]\s?|\s(?:dot)\s)"
@@ -92,7 +75,7 @@ _ID_CUE = re.compile(
 )
 _NO_CUE = re.compile(r"(?i)\b(?:isbn|issn|ref|record no|order|batch|printed|shelf|price|preis|prix|fiyat|pp|vol|series no|bulletin|note)\b[^\n]{0,14}$")
 
-_PLACE = rf"(?:\d{{4,5}} )?{_NAME_WORD}"
+_PLACE = rf"(?:\d{{4,5}} )?{NAME_WORD}"
 _POST = r"(?: [A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2})"
 _UNIT = r"(?:, (?:Flat|Apt|Apartment|Suite|Unit)\.? ?\w+)"
 _STREET = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Drive|Court|Square|Terrace|Way|Close|Crescent)(?!\w)"
@@ -101,28 +84,23 @@ _RUE = r" (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|cours|route)"
 _STRASSE = r"(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer) \d"
 _SOKAK = r" (?:Caddesi|Cad\.|Cd\.|Sokağı|Sokak|Sok\.|Sk\.|Bulvarı|Blv\.)(?: No ?:?)? ?:? ?\d"
 _ADDRESSES = [
-    rf"(?<![\w/.-])\d{{1,5}}[A-Za-z]? (?:[NSEW]\. )?{_NAME_WORD} {_STREET}{_UNIT}?(?:, {_PLACE}(?:{_POST}|, {_NAME_WORD}| \d{{5}})?)?",
+    rf"(?<![\w/.-])\d{{1,5}}[A-Za-z]? (?:[NSEW]\. )?{NAME_WORD} {_STREET}{_UNIT}?(?:, {_PLACE}(?:{_POST}|, {NAME_WORD}| \d{{5}})?)?",
     rf"(?<!\w){_BOX}\d*(?:, {_PLACE})?",
-    rf"(?<![\w/.-])\d{{1,4}}(?: ?(?:bis|ter|quater))?,?{_RUE}(?: (?:de la|de|du|des))? (?:[dl][’'])?{_NAME_WORD}(?:, {_PLACE})?",
-    rf"(?<!\w)(?:(?:Am|An der|An den|Auf der|Im|In der|Zum|Zur) )?{_UP}\w*{_STRASSE}\d{{0,3}} ?[a-z]?(?!\w)(?:, {_PLACE})?",
-    rf"(?<!\w)(?:{_NAME_WORD} Mah(?:allesi|\.),? )?{_NAME_WORD}{_SOKAK}[\d/]*(?:\.? (?:Kat|Blok|Daire|D|K):? ?\w+(?:[:/]\w+)?)*,?(?: {_PLACE})?",
+    rf"(?<![\w/.-])\d{{1,4}}(?: ?(?:bis|ter|quater))?,?{_RUE}(?: (?:de la|de|du|des))? (?:[dl][’'])?{NAME_WORD}(?:, {_PLACE})?",
+    rf"(?<!\w)(?:(?:Am|An der|An den|Auf der|Im|In der|Zum|Zur) )?{UP}\w*{_STRASSE}\d{{0,3}} ?[a-z]?(?!\w)(?:, {_PLACE})?",
+    rf"(?<!\w)(?:{NAME_WORD} Mah(?:allesi|\.),? )?{NAME_WORD}{_SOKAK}[\d/]*(?:\.? (?:Kat|Blok|Daire|D|K):? ?\w+(?:[:/]\w+)?)*,?(?: {_PLACE})?",
 ]
 _ADDRESS = [re.compile(p) for p in _ADDRESSES]
 #: Of each pattern a part that it can't do without.
 _ADDRESS_HINTS = [re.compile(p) for p in (rf" {_STREET}", _BOX, rf"{_RUE} ", _STRASSE, _SOKAK)]
 _ADDRESS_CUE = re.compile(r"(?i)\b(?:live at|send it to|ship to|my home|address|adres\w*|adresse|anschrift|envoyez|bitte an|evim|yollayın|habite|wohne)\b")
+_NO_ADDRESS = re.compile(r"(?i)\b(?:published by|publishers?|printed (?:at|by)|verlag|yayınevi|éditions|éditeur|imprimé par)[:,]? [^\n]{0,14}$")
 
-_TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|M|Mme|Mlle|Frau|Herr|Sayın|Bay|Bayan)\.? )*"
-_CUES = r"(?:\bmy colleague|\bask for|\bsigned by|\bregards,|\bsincerely,|\byours,|\bcordialement,|\bgrüßen?,|\bsevgiler,|\bsaygılar(?:ımla)?,|\bsayın|\bkulüpten|\bkitabı bana|\bmme|\bm\.|\bfrau|\bherr|\bmr\.?|\bmrs\.?|\bdr\.|\bprof\.|\bmy name is|\bich heiße|\bje m[’']appelle)\s"
-_CUE_BEFORE = re.compile(rf"(?i){_CUES}\s*" + _TITLE + "$")
-_CUE_AFTER = re.compile(r"(?i)[,.]?\s+(?:lent it to me|at the desk|for the book club|dikkatine|aradı|verdi\b|me l[’']a prêté|hat es mir)")
-#: A cue anywhere; without word bounds, as the text before a name may be cut within a word.
-_CUE_ANY = re.compile("(?i)" + _CUES.replace(r"\b", ""))
-_NOT_SURNAME = frozenset("regards sincerely yours cordialement grüße grüßen sevgiler saygılar saygılarımla dear lieber liebe cher chère sayın dr prof mme frau herr".split())
-_SURNAME_AFTER = re.compile(rf"\s+(?:{_UP}\.?\s+)?({_NAME_WORD})")
-_LOWER_AFTER = re.compile(r"\s+([^\W\d_]{4,})")
-_SURNAME_BEFORE = re.compile(rf"(?<!\w)({_NAME_WORD}),\s+$")
-_CUED = re.compile(rf"({_NAME_WORD})\s+(?:{_UP}\.?\s+)?({_NAME_WORD})")
+_NOT_SURNAME = frozenset(map(folded, TITLES | CLOSINGS)) | frozenset("dear lieber liebe cher chère".split())
+_SURNAME_AFTER = re.compile(rf"\s{{1,2}}(?:{UP}\.?\s{{1,2}})?({NAME_WORD})")
+_CAPITAL = re.compile(rf"(?<![\w’'-]){UP}[^\W\d_]*(?:[’'-][^\W\d_]+)*")
+_LOWER_AFTER = re.compile(r"\s{1,2}([^\W\d_]{4,})")
+_SURNAME_BEFORE = re.compile(rf"(?<![\w’'-])({NAME_WORD}),\s{{1,2}}$")
 
 
 def luhn(digits: str) -> bool:
@@ -153,7 +131,7 @@ def _checked(value: str) -> bool:
     return bool(re.match(r"[A-Z]{2}\d{2}[A-Z0-9]{11,}$", v)) and mod97(v)
 
 
-def _spans(text: str) -> list[tuple[float, int, int, str]]:
+def _spans(text: str, model: NameModel) -> list[tuple[float, int, int, str]]:
     """Accepted spans before overlaps are settled: score, start, end, kind."""
     out = []
 
@@ -187,76 +165,90 @@ def _spans(text: str) -> list[tuple[float, int, int, str]]:
         if hint.search(text):
             for m in p.finditer(text):
                 pre, _ = near(m.start(), m.end())
-                out.append((0.8 + 0.2 * bool(_ADDRESS_CUE.search(pre[-30:])) + 0.001 * len(m.group()), m.start(), m.end(), "address"))
-    out += _names(text)
+                out.append((0.8 + 0.2 * bool(_ADDRESS_CUE.search(pre[-30:])) - 0.3 * bool(_NO_ADDRESS.search(pre)) + 0.001 * len(m.group()), m.start(), m.end(), "address"))
+    out += _names(text, model)
     return out
 
 
-def _names(text: str) -> Iterator[tuple[float, int, int, str]]:
-    if not _GIVEN.isdisjoint(map(_folded, set(_WORD.findall(text)))):
-        for m in _WORD.finditer(text):
-            word = m.group()
-            if _folded(word) not in _GIVEN:
+def _names(text: str, model: NameModel) -> Iterator[tuple[float, int, int, str]]:
+    """Name spans by the strength of the given name and of the contexts around."""
+    if model.hopeless(text):
+        return
+    if not model.names.isdisjoint(map(folded, LOWER_WORD.findall(text))):
+        for m in LOWER_WORD.finditer(text):
+            # Small letters may be an ordinary word: only a given name right after a cue.
+            nxt = _LOWER_AFTER.match(text, m.end()) if folded(m.group()) in model.names else None
+            if nxt and model.before(*contexts(text, m.start(), nxt.end())[:2]) >= 0.5:
+                yield 0.9, m.start(), nxt.end(), "name"
+    for m in _CAPITAL.finditer(text):
+        s, e = m.span()
+        first = folded(m.group())
+        strength = model.strength(first)
+        if first in _NOT_SURNAME:
+            continue
+        inv = _SURNAME_BEFORE.search(text[max(0, s - BEFORE) : s]) if strength else None
+        nxt = _SURNAME_AFTER.match(text, e)
+        if inv and folded(inv.group(1)) not in _NOT_SURNAME:
+            at = s - (len(inv.group(0)))
+            l1, l2, r1, r2 = contexts(text, at, e)
+            cue = max(model.before(l1, l2), model.after(r1, r2))
+            if cue >= 0.5 or not nxt or folded(nxt.group(1)) in model.ordinary:
+                yield 0.7 + 0.2 * cue, at, e, "name"
                 continue
-            s, e = m.span()
-            pre = text[max(0, s - BEFORE) : s]
-            before = bool(_CUE_BEFORE.search(pre))
-            if word[0].islower():
-                # Small letters may be an ordinary word: only right after a cue.
-                nxt = _LOWER_AFTER.match(text, e)
-                if before and nxt:
-                    yield 0.9, s, nxt.end(), "name"
+        if nxt and strength and model.strength(folded(nxt.group(1))):  # a second given name
+            nxt = _SURNAME_AFTER.match(text, nxt.end()) or nxt
+        if nxt and len(nxt.group(1)) > 1:
+            l1, l2, r1, r2 = contexts(text, s, nxt.end())
+            before, after = model.before(l1, l2), model.after(r1, r2)
+            last = folded(nxt.group(1))
+            if last in _NOT_SURNAME or (last in model.ordinary and before < 0.5):
                 continue
-            inv = _SURNAME_BEFORE.search(pre)
-            if inv and inv.group(1).lower() not in _NOT_SURNAME:
-                cue = bool(_CUE_BEFORE.search(pre[: inv.start(1)])) or bool(_CUE_AFTER.match(text, e))
-                nxt = _SURNAME_AFTER.match(text, e)
-                if cue or not nxt:
-                    yield 0.7 + 0.2 * cue, s - len(pre) + inv.start(1), e, "name"
-                    continue
-            nxt = _SURNAME_AFTER.match(text, e)
-            if nxt and _folded(nxt.group(1)) in _GIVEN:  # a second given name
-                nxt = _SURNAME_AFTER.match(text, nxt.end()) or nxt
-            if nxt and (before or len(nxt.group(1)) >= 4):
-                yield 0.7 + 0.2 * before + 0.1 * bool(_CUE_AFTER.match(text, nxt.end())), s, nxt.end(), "name"
-            elif before and (low := _LOWER_AFTER.match(text, e)) and _CUE_AFTER.match(text, low.end()):
+            if strength:
+                # A name of the general list alone needs a surname that is no ordinary word.
+                yield 0.6 + 0.2 * strength + 0.15 * before + 0.1 * after, s, nxt.end(), "name"
+            elif first not in model.ordinary and (before >= 0.8 or before + after >= 1.2):
+                yield 0.6 + 0.05 * (before + after), s, nxt.end(), "name"
+        elif strength and (low := _LOWER_AFTER.match(text, e)):
+            l1, l2, r1, r2 = contexts(text, s, low.end())
+            if model.before(l1, l2) >= 0.5 and model.after(r1, r2) >= 0.5:
                 yield 0.8, s, low.end(), "name"
-    if _CUE_ANY.search(text):  # unknown given names between cues
-        for m in _CUED.finditer(text):
-            if _CUE_AFTER.match(text, m.end()) and _CUE_BEFORE.search(text[max(0, m.start() - BEFORE) : m.start()]):
-                yield 0.65, m.start(), m.end(), "name"
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
+def find(text: str | None, model: NameModel) -> list[tuple[int, int, str]]:
     """start, end, kind of all personal information in text, in order and without overlaps."""
     if not text:
         return []
     taken: list[tuple[int, int, str]] = []
-    for _, s, e, kind in sorted(_spans(text), key=lambda x: (-x[0], x[1])):
-        if all(e <= a or s >= b for a, b, _ in taken):
+    for score, s, e, kind in sorted(_spans(text, model), key=lambda x: (-x[0], x[1])):
+        if score >= ACCEPT and all(e <= a or s >= b for a, b, _ in taken):
             taken.append((s, e, kind))
     return sorted(taken)
 
 
+def _shared_model(docs: DataFrame):
+    return docs.sparkSession.sparkContext.broadcast(learned(docs))
+
+
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, pii_kind, start_pos, end_pos of every case; null and empty texts hold none; other columns are ignored."""
+    slim = spread(docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text"))
+    shared = _shared_model(slim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, k, s, e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s, e, k in find(t)]
+            rows = [(d, k, s, e) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s, e, k in find(t, shared.value)]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["doc_id", "pii_kind", "start_pos", "end_pos"])
 
-    slim = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
-    return spread(slim).mapInArrow(run, "doc_id bigint, pii_kind string, start_pos bigint, end_pos bigint")
+    return slim.mapInArrow(run, "doc_id bigint, pii_kind string, start_pos bigint, end_pos bigint")
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, model: NameModel) -> str | None:
     """text with a placeholder such as [EMAIL] for each case, the rest unchanged; null stays null."""
     if text is None:
         return None
     out, at = [], 0
-    for s, e, kind in find(text):
+    for s, e, kind in find(text, model):
         out += [text[at:s], f"[{kind.upper()}]"]
         at = e
     return "".join(out) + text[at:]
@@ -264,9 +256,11 @@ def redact(text: str | None) -> str | None:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """doc_id and the redacted text of every document, null and empty texts included."""
+    slim = spread(docs.select(F.col("doc_id").cast("bigint"), "text"))
+    shared = _shared_model(slim.filter(F.col("text").isNotNull()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t, shared.value) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return spread(docs.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(run, "doc_id bigint, text string")
+    return slim.mapInArrow(run, "doc_id bigint, text string")
