@@ -1,145 +1,167 @@
-"""Evaluation passages inside training text (problem 8)."""
+"""Evaluation passages inside training text (problem 8).
+
+Training texts are cut into shards; each shard's FM-index over word numbers is built
+once and written, whatever the evaluation set. Evaluation phrases are searched in all
+shards by backward search, block by block, and their places are merged into spans.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.words import spans, words
 from lectern.llm.fmindex import FMIndex
-from lectern.session import spread
+from lectern.llm.tokensets import WordHashes
+from lectern.llm.words import spans, words
+from lectern.session import spread, written
 
-#: Characters of evaluation text that are searched for together; more text is searched in several blocks.
-BLOCK_CHARS = 32_000_000
-#: Words of an index shard; bounds a task's memory.
+#: Words of evaluation text that are searched for together; more text is searched in several blocks.
+BLOCK_WORDS = 4_000_000
+#: Words of an index shard; bounds a task's memory. A longer text is a shard of its own.
 SHARD_WORDS = 400_000
 
-SCHEMA = "doc_id bigint, items array<bigint>, spans array<struct<start_pos:int,end_pos:int>>"
+_SHARDS = "doc_ids binary, starts binary, vocab binary, fm binary"
 
 
-def _phrases(items: list, n: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers (from 1), all distinct n-word phrases, and per phrase its items (offsets, ids)."""
-    vocab: dict[str, int] = {}
-    grams: dict[tuple, set] = {}
-    for item_id, text in items:
-        ids = [vocab.setdefault(w, len(vocab) + 1) for w in words(text)]
-        for k in range(len(ids) - n + 1):
-            grams.setdefault(tuple(ids[k : k + n]), set()).add(item_id)
-    table = np.array(list(grams), np.int64).reshape(-1, n)
-    owners = [sorted(s) for s in grams.values()]
-    off = np.concatenate(([0], np.cumsum([len(o) for o in owners]))).astype(np.int64)
-    return vocab, table, off, np.array([i for o in owners for i in o], np.int64)
+def build_index(docs: DataFrame) -> DataFrame:
+    """One row a shard of docs(doc_id, text): ids and first words of its texts, its vocabulary (hashes), its FM-index."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        ids: list[int] = []
+        starts: list[int] = []
+        flat: list[int] = []
+
+        def flush() -> pa.RecordBatch:
+            h = np.array(flat, np.uint64)
+            edge = np.zeros(len(h), bool)
+            edge[np.array(starts[1:] + [len(h)], np.int64) - 1] = True
+            vocab, inner = np.unique(h[~edge], return_inverse=True)
+            sym = np.zeros(len(h), np.int64)
+            sym[~edge] = inner + 1
+            fm = FMIndex.of(sym, len(vocab) + 1).packed()
+            cols = [np.array(ids, np.int64).tobytes(), np.array(starts, np.int64).tobytes(), vocab.tobytes(), fm]
+            ids.clear(), starts.clear(), flat.clear()
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["doc_ids", "starts", "vocab", "fm"])
 
-def leaks(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """Documents that share at least n consecutive words with an evaluation item.
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(doc_id), starts.append(len(flat))
+                flat.extend([cache[w] for w in words(text)])
+                flat.append(0)
+                if len(flat) >= SHARD_WORDS:
+                    yield flush()
+        if ids:
+            yield flush()
 
-    docs: doc_id, text. items: item_id, text. Out: doc_id, items (ids that leaked,
-    sorted), spans (merged character spans [start, end) to remove, sorted). Texts
-    are whole; null, empty and shorter texts never match; rows with a null item_id
-    are ignored; other columns are ignored. The items are a stated query set: they
-    are taken in blocks of bounded size and every block meets all documents. Each
-    task indexes its documents shard by shard, so nothing is shuffled.
-    """
-    items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    docs = spread(docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text"))
-    parts = []
-    for k in range(blocks):
-        block = items if blocks == 1 else items.filter(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}"))
-        parts.append(_search(docs, [tuple(r) for r in block.collect()], n))
-    if blocks == 1:
-        return parts[0]
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    merged = all_parts.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    # Spans that touch or overlap across blocks become one.
-    step = "aggregate(spans, cast(array() as array<struct<start_pos:int,end_pos:int>>), (a, s) -> if(size(a) > 0 and element_at(a, -1).end_pos >= s.start_pos, concat(slice(a, 1, size(a) - 1), array(named_struct('start_pos', element_at(a, -1).start_pos, 'end_pos', greatest(element_at(a, -1).end_pos, s.end_pos)))), concat(a, array(s))))"
-    return merged.withColumn("spans", F.expr(step))
+    return docs.mapInArrow(run, _SHARDS)
 
 
-def _search(docs: DataFrame, items: list, n: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_phrases(items, n))
+def item_words(items: DataFrame) -> DataFrame:
+    """item_id and the hashes of its words, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, phrases, off, owner = shared.value
-        get = vocab.get
-        ids: list[int] = []
-        starts: list[int] = []
-        rows: list[tuple] = []
+        cache = WordHashes()
+        for b in batches:
+            rows = [np.array([cache[w] for w in words(t)], np.uint64).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], ["item_id", "w"])
+
+    return items.select("item_id", "text").mapInArrow(run, "item_id bigint, w array<bigint>")
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            flat = np.array(ids, np.int64)
-            doc, pos, phrase = _hits(flat, phrases, len(vocab) + 1, np.array(starts), n)
-            if len(doc):
-                yield _report(doc, pos, phrase, rows, np.array(starts), off, owner, n)
-            ids.clear(), starts.clear(), rows.clear()
+_HITS = "doc_id bigint, items array<bigint>, firsts array<int>"
 
+
+def _search(index: DataFrame, block: pa.Table, n: int) -> DataFrame:
+    """doc_id, items, firsts (numbers of the first words of all phrases found) over all shards for a block of items."""
+    w = block.column("w").combine_chunks()
+    shared = index.sparkSession.sparkContext.broadcast((block.column("item_id").to_numpy(), w.value_lengths().to_numpy().astype(np.int64), w.flatten().to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, size, flat = shared.value
+        flat = flat.view(np.uint64)
+        owner = np.repeat(np.arange(len(item)), size)
+        # Phrases that stay within an item.
+        at = np.flatnonzero(owner[: max(len(flat) - n + 1, 0)] == owner[n - 1 :]) if len(flat) >= n else np.zeros(0, np.int64)
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                starts.append(len(ids))
-                rows.append((doc_id, text))
-                ids.extend(get(w, 0) for w in words(text))
-                ids.append(0)
-                if len(ids) >= SHARD_WORDS:
-                    yield from flush()
-        if rows and len(phrases):
-            yield from flush()
-
-    return docs.mapInArrow(run, SCHEMA)
-
-
-def _hits(flat: np.ndarray, phrases: np.ndarray, n_symbols: int, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document (row), word position in flat, and phrase of every occurrence."""
-    none = np.zeros(0, np.int64)
-    out = [(none, none)]
-    for at in range(0, len(flat), SHARD_WORDS):
-        piece = flat[at : at + SHARD_WORDS + n - 1]
-        known = np.concatenate(([0], (piece > 0).astype(np.int8), [0]))
-        edge = np.diff(known)
-        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        long = e - s >= n  # shorter runs of known words can't hold a phrase
-        s, e = s[long], e[long]
-        if not len(s):
-            continue
-        size = e - s + 1  # each run and a separator
-        begin = np.concatenate(([0], np.cumsum(size)))
-        src = np.arange(begin[-1]) + np.repeat(s - begin[:-1], size)
-        sym = piece[np.minimum(src, len(piece) - 1)].copy()
-        sym[begin[1:] - 1] = 0
-        fm = FMIndex(sym, n_symbols)
-        rows, lo, hi = fm.search(phrases)
-        if not len(rows):
-            continue
-        cnt = hi - lo
-        first = np.concatenate(([0], np.cumsum(cnt)))
-        where = fm.locate(np.arange(first[-1]) + np.repeat(lo - first[:-1], cnt))
-        run = np.searchsorted(begin, where, side="right") - 1
-        out.append((where - begin[run] + s[run] + at, np.repeat(rows, cnt)))
-    pos, phrase = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-    order = np.argsort(pos, kind="stable")
-    pos, phrase = pos[order], phrase[order]
-    return np.searchsorted(starts, pos, side="right") - 1, pos, phrase
-
-
-def _report(doc: np.ndarray, pos: np.ndarray, phrase: np.ndarray, rows: list, starts: np.ndarray, off: np.ndarray, owner: np.ndarray, n: int) -> pa.RecordBatch:
-    ids, items, merged = [], [], []
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    for p, ph, d in zip(np.split(pos, cut), np.split(phrase, cut), doc[np.concatenate(([0], cut))], strict=True):
-        w = spans(rows[d][1])
-        p = p - starts[d]
-        gap = np.flatnonzero(p[1:] > p[:-1] + n) + 1
-        ids.append(rows[d][0])
-        items.append(np.unique(np.concatenate([owner[off[k] : off[k + 1]] for k in np.unique(ph)])).tolist())
-        merged.append([{"start_pos": w[g[0]][0], "end_pos": w[g[-1] + n - 1][1]} for g in np.split(p, gap)])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(merged, pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32())])))],
-        ["doc_id", "items", "spans"],
-    )
+            for ids, starts, vocab, fm in zip(*[b.column(c).to_pylist() for c in ("doc_ids", "starts", "vocab", "fm")], strict=True):
+                ids, starts, vocab = np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int64), np.frombuffer(vocab, np.uint64)
+                if not len(vocab) or not len(at):
+                    continue
+                k = np.minimum(np.searchsorted(vocab, flat), len(vocab) - 1)
+                local = np.where(vocab[k] == flat, k + 1, 0)
+                # Phrases of words that the shard knows.
+                unknown = np.concatenate(([0], np.cumsum(local == 0)))
+                some = at[unknown[at + n] == unknown[at]]
+                if not len(some):
+                    continue
+                x = FMIndex.unpacked(fm)
+                rows, lo, hi = x.search(np.lib.stride_tricks.sliding_window_view(local, n)[some])
+                if not len(rows):
+                    continue
+                cnt = hi - lo
+                first = np.concatenate(([0], np.cumsum(cnt)))
+                where = x.locate(np.arange(first[-1]) + np.repeat(lo - first[:-1], cnt))
+                found = item[owner[some[np.repeat(rows, cnt)]]]
+                doc = np.searchsorted(starts, where, side="right") - 1
+                order = np.lexsort((where, doc))
+                doc, where, found = doc[order], where[order], found[order]
+                cut = np.flatnonzero(np.diff(doc)) + 1
+                docs_ = doc[np.concatenate(([0], cut))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[docs_]), pa.array([np.unique(f) for f in np.split(found, cut)], pa.list_(pa.int64())), pa.array([np.unique(p - starts[d]).astype(np.int32) for p, d in zip(np.split(where, cut), docs_, strict=True)], pa.list_(pa.int32()))],
+                    ["doc_id", "items", "firsts"],
+                )
+
+    return index.mapInArrow(run, _HITS)
+
+
+def _char_spans(n: int):
+    """Character spans of merged phrases, of texts with hits only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            merged = []
+            for text, firsts in zip(b.column("text").to_pylist(), b.column("firsts").to_pylist(), strict=True):
+                w, p = spans(text), np.array(sorted(set(firsts)))
+                gap = np.flatnonzero(p[1:] > p[:-1] + n) + 1
+                merged.append([{"start_pos": w[g[0]][0], "end_pos": w[g[-1] + n - 1][1]} for g in np.split(p, gap)])
+            kind = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("items"), pa.array(merged, kind)], ["doc_id", "items", "spans"])
+
+    return run
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """doc_id, items (ids that leaked, sorted), firsts (numbers of the first words of phrases) of documents with leaks; see leaks."""
+    items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
+    asked = written(item_words(items), "leak-items")
+    total = asked.agg(F.sum(F.size("w"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_WORDS))
+    index = written(build_index(spread(docs)), "leak-index")
+    parts = [_search(index, asked.filter(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).toArrow(), n) for k in range(blocks)]
+    if blocks == 1:
+        return parts[0]
+    both = reduce(DataFrame.unionByName, parts).groupBy("doc_id")
+    return both.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("firsts")).alias("firsts"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """Documents that share at least n consecutive words with an evaluation item.
+
+    docs: doc_id (unique), text. items: item_id, text. Out: doc_id, items (ids that
+    leaked, sorted), spans (merged character spans [start, end) to remove, sorted). Texts
+    are whole; null, empty and shorter texts never match; rows with a null item_id
+    are ignored; other columns are ignored. The items are a stated query set: they
+    are taken in blocks of bounded size and every block meets the index of all documents,
+    which are read as words once. Only texts with hits are read again for their spans.
+    """
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
+    hits = written(leaked_items(texts, items, n), "leak-hits")
+    return hits.join(texts, "doc_id").select("doc_id", "items", "firsts", "text").mapInArrow(_char_spans(n), "doc_id bigint, items array<bigint>, spans array<struct<start_pos:int,end_pos:int>>")
