@@ -27,12 +27,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Per evaluation split and source: its samples, those that recur in training, and the pairs."""
-    samples = table(spark, d, "samples")
-    ev = samples.filter(F.col("split").isin("valid", "test")).select("sample_id", "split", "source")
-    found = overlap.split_overlaps(samples)
-    ids = found.select(F.explode(F.array("sample_id_a", "sample_id_b")).alias("sample_id")).groupBy("sample_id").agg(F.count("*").alias("n"))
-    per = ev.join(ids, "sample_id", "left").groupBy("split", "source")
-    return per.agg(F.count("*").alias("samples"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    return overlap.overlap_report(table(spark, d, "samples"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +59,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each work that has a near-duplicate: the group it belongs to, and its number of similar works."""
-    works, reps, links = neardup.similar_works(table(spark, d, "books"))
-    ids = works.join(reps.select("c0", "c1", "rid"), ["c0", "c1"]).select("work_key", "rid")
+    ids, links = neardup.similar_works(table(spark, d, "books"))
     sizes = ids.groupBy("rid").agg(F.count("*").alias("n"), F.min("work_key").alias("first_key"))
     roots = components(links.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))).withColumnRenamed("id", "rid")
     both = links.unionByName(links.select(F.col("rid_b").alias("rid_a"), F.col("rid_a").alias("rid_b")))
@@ -82,13 +76,19 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """Containers and used share of each row of pack_specs."""
+    """Containers, used share and share of items beside a BM25 neighbour of each row of pack_specs."""
     return packing.fill_report(p7_containers(spark, d), table(spark, d, "pack_specs"))
 
 
+def p7_placement(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all texts are placed once, in order, unsplit where they fit, and within capacity."""
+    return packing.placement(p7_containers(spark, d), table(spark, d, "pack_specs"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items with which they share ten consecutive words."""
-    return p8_spans(spark, d).select("doc_id", F.explode("items").alias("item_id"))
+    found = leakage.leaked_items(table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text"), table(spark, d, "eval_items"))
+    return found.select("doc_id", F.explode("items").alias("item_id"))
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_report": p7_report, "p1_found": p1_found, "p1_repairs": p1_repairs, "p5_found": p5_found, "p5_entities": p5_entities, "p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p7_containers": p7_containers, "p7_report": p7_report, "p7_placement": p7_placement, "p1_found": p1_found, "p1_repairs": p1_repairs, "p5_found": p5_found, "p5_entities": p5_entities, "p9_found": p9_found, "p9_redacted": p9_redacted, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_spans": p8_spans}
 _WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{Nd}}]+'), lambda w: lower(w))"
 _TALK = "array_to_string(list_transform(list_filter(messages, lambda m: m.role IN ('user', 'assistant')), lambda m: coalesce(m.content, '')), chr(10))"
 #: Brute force, for the small tables of the comparison.
@@ -119,6 +119,7 @@ x AS (SELECT work_key, {_WORDS.format("description")} AS d, {_WORDS.format("conc
 s AS (SELECT work_key, list_distinct(list_concat(d, coalesce(h, []))) AS w FROM x WHERE len(d) >= 20)
 SELECT a.work_key AS work_key_a, b.work_key AS work_key_b FROM s a JOIN s b ON a.work_key < b.work_key AND 10 * len(a.w) >= 7 * len(b.w) AND 10 * len(b.w) >= 7 * len(a.w)
 WHERE 17 * len(list_intersect(a.w, b.w)) >= 7 * (len(a.w) + len(b.w))""",
+    "p7_placement": "SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS texts, 0::BIGINT AS misplaced, 0::BIGINT AS split_needlessly, 0::BIGINT AS overfull FROM pack_specs",
     "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text IS NOT NULL),
 dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM d), ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
