@@ -150,14 +150,15 @@ def themes(rows: DataFrame, key: str, subjects: str, dictionary: DataFrame, limi
     """key, themes (at most limit, each once, in the subjects' order) of rows by a dictionary(position, subject, theme).
 
     A subject takes the theme of the entry that equals it, else of the first entry of at
-    least six characters that is part of it. The dictionary is a settings table; whether
-    it is broadcast is left to the optimizer's knowledge of its size.
+    least six characters that is part of it. The dictionary is a settings table: whole
+    subjects meet it in an equi-join, and its longer entries become part of the plan.
     """
     s = rows.select(key, F.posexplode(subjects).alias("at", "subject")).filter(F.col("subject").isNotNull()).withColumn("subject", F.lower(F.trim("subject")))
-    distinct = s.select("subject").distinct()
     d = dictionary.select("position", F.lower("subject").alias("entry"), "theme")
-    hit = distinct.join(d, (F.col("subject") == F.col("entry")) | ((F.length("entry") >= 6) & F.col("subject").contains(F.col("entry"))))
-    best = hit.groupBy("subject").agg(F.min(F.struct((F.col("subject") != F.col("entry")).alias("part"), "position", "theme")).alias("m")).select("subject", "m.theme")
+    equal = d.groupBy(F.col("entry").alias("subject")).agg(F.min(F.struct("position", "theme")).alias("m")).select("subject", F.col("m.theme").alias("equal"))
+    parts = d.filter(F.length("entry") >= 6).orderBy("position").collect()
+    part = F.coalesce(F.lit(None).cast("string"), *[F.when(F.col("subject").contains(r["entry"]), F.lit(r["theme"])) for r in parts])
+    best = s.select("subject").distinct().join(equal, "subject", "left").select("subject", F.coalesce("equal", part).alias("theme")).filter(F.col("theme").isNotNull())
     got = s.join(best, "subject").groupBy(key, "theme").agg(F.min("at").alias("at"))
     lists = got.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "theme"))).alias("x"))
     return lists.select(key, F.slice(F.transform("x", lambda y: y["theme"]), 1, limit).alias("themes"))

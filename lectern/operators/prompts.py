@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import STOPWORDS, circumflex_folded, clipped, join_and, mentions
+from lectern.operators.requests import GENRE_NAMES, MOOD_NAMES, names_of
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ def expanded(requests: DataFrame, entries: list[Entry], most: int = 24, per_kind
 
 
 def rendered() -> Column:
-    """A candidate (candidate_id and a book's columns) as it stands in a prompt."""
+    """A candidate (candidate_id and a book's columns) as it stands in a prompt; its Turkish words are fixed values."""
     none = F.array().cast("array<string>")
     when = lambda c, *parts: F.when(c, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise("")
     head = F.concat(
@@ -63,8 +64,8 @@ def rendered() -> Column:
         when(F.col("first_published").isNotNull(), " · ", F.col("first_published").cast("string")),
     )
     facts = F.array_compact(F.array(
-        F.when(F.size("genres") > 0, F.concat(F.lit("tür: "), F.array_join("genres", ", "))),
-        F.when(F.size("moods") > 0, F.concat(F.lit("ruh: "), F.array_join("moods", ", "))),
+        F.when(F.length(names_of("genres", GENRE_NAMES)) > 0, F.concat(F.lit("tür: "), names_of("genres", GENRE_NAMES))),
+        F.when(F.length(names_of("moods", MOOD_NAMES)) > 0, F.concat(F.lit("ruh: "), names_of("moods", MOOD_NAMES))),
         F.when(F.col("pages") > 0, F.concat(F.col("pages").cast("string"), F.lit(" sf."))),
         F.when((F.col("rating_avg") > 0) & (F.col("rating_count") > 0), F.format_string("puan %.1f/5 (%d oy)", F.col("rating_avg"), F.col("rating_count"))),
         F.when(F.array_contains("languages", "tur"), "Türkçe baskısı var"),

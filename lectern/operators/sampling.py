@@ -38,14 +38,31 @@ def capped(rows: DataFrame, group: str, cap: int, seed: int, key: str) -> DataFr
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap)
 
 
+#: Buckets of the histogram that finds the place of a hash threshold.
+BUCKETS = 1 << 16
+
+
 def split(rows: DataFrame, ratio: float, seed: int, key: str) -> DataFrame:
-    """Marks max(1, int(n * ratio)) rows as valid, the others as train.
+    """Marks max(1, int(n * ratio)) rows as valid, the others as train, by seeded hash order.
 
-    The threshold comes from a bounded selection of the hash order's head.
+    A histogram of the hashes, of BUCKETS rows at most, tells in which bucket the threshold
+    lies; only that bucket's rows are ordered. Rows are then marked where they are.
     """
-    n = rows.count()
-    head = rows.select(key).orderBy(unit(key, seed), key).limit(max(1, int(n * ratio))).withColumn("is_valid", F.lit(True))
-    return rows.join(head, key, "left").withColumn("part", F.when(F.col("is_valid"), "valid").otherwise("train")).drop("is_valid")
+    u = unit(key, seed)
+    bucket = F.floor(u * BUCKETS)
+    sizes = {r[0]: r[1] for r in rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+    left = max(1, int(sum(sizes.values()) * ratio))
+    at = -1
+    for b in sorted(sizes):
+        at = b
+        if left <= sizes[b]:
+            break
+        left -= sizes[b]
+    edge = rows.filter(bucket == at).select(u.alias("u"), F.col(key).alias("k")).orderBy("u", "k").limit(left).agg(F.max(F.struct("u", "k"))).first()[0]
+    if edge is None:
+        return rows.withColumn("part", F.lit("train"))
+    inside = (bucket < at) | ((bucket == at) & ((u < edge[0]) | ((u == edge[0]) & (F.col(key) <= F.lit(edge[1])))))
+    return rows.withColumn("part", F.when(inside, "valid").otherwise("train"))
 
 
 def tail_holdout(rows: DataFrame, order: str, n: int = 200, least: int = 600) -> DataFrame:

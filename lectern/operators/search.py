@@ -139,6 +139,25 @@ class BM25:
         return hits.orderBy(F.desc("score"), key).limit(k) if k else hits
 
 
+def bm25_each(docs: DataFrame, key: str, terms: Column, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query, key, score, place of the best k texts for each row of queries(query, terms), which may be a table of any size.
+
+    Postings (term, key, tf, length) are written once; only those of the queries' terms
+    are joined, so a query reads what its terms hold and not all texts.
+    """
+    one = docs.select(key, terms.alias("terms"))
+    stats = one.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("terms")), F.lit(1.0)).alias("avgdl")).first()
+    asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
+    held = one.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    post = written(held.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln((F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats["avgdl"])))
+    hits = asked.join(df, "term").join(post, "term").groupBy("query", key).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
 def dense_topk(vectors: DataFrame, key: str, queries: dict, k: int = 10) -> DataFrame:
     """query, key, score of the k nearest vectors by cosine for each query vector.
 
@@ -293,9 +312,12 @@ def similar_by_overlap(items: DataFrame, work_key: str, k: int = 10) -> DataFram
 
 
 def not_weak(rows: DataFrame, group: str, score: str, least: float) -> DataFrame:
-    """Rows of at least the score; of a group without any, its best row; dropped counts what went."""
-    w = Window.partitionBy(group)
-    best = F.row_number().over(w.orderBy(F.desc(score), "id"))
-    x = rows.withColumn("strong", F.count_if(F.col(score) >= least).over(w)).withColumn("n", F.count("*").over(w)).withColumn("at", best)
-    kept = x.filter((F.col(score) >= least) | ((F.col("strong") == 0) & (F.col("at") == 1)))
-    return kept.withColumn("dropped", F.col("n") - F.greatest("strong", F.lit(1))).drop("strong", "n", "at")
+    """Rows of at least the score; of a group without any, its best row; dropped counts what went.
+
+    Groups are aggregated first and joined back, so no group meets in one task. Null groups
+    stand for none and are left out.
+    """
+    per = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"), F.count_if(F.col(score) >= least).alias("strong"), F.min(F.struct((-F.col(score)).alias("s"), "id")).alias("best"))
+    x = rows.join(per, F.col(group) == F.col("_g"))
+    kept = x.filter((F.col(score) >= least) | ((F.col("strong") == 0) & (F.col("id") == F.col("best.id")) & (F.col(score) == -F.col("best.s"))))
+    return kept.withColumn("dropped", F.col("n") - F.greatest("strong", F.lit(1))).drop("strong", "n", "best", "_g")

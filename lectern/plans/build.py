@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import catalog
 from lectern.sources import dumps
-from lectern.sources.files import Stages
+from lectern.sources.files import Stages, write_manifest
 
 
 def build_catalog(spark: SparkSession, folder: str, out: str, prefix: str = "dump_", stop_after: str | None = None) -> DataFrame | None:
@@ -40,4 +40,7 @@ def build_catalog(spark: SparkSession, folder: str, out: str, prefix: str = "dum
         names_ = {"genre_label": "genres", "mood_label": "moods", "era_label": "era", "length_label": "length_bucket", "audience_label": "audience"}
         return x.select(*keep, *[F.col(k).alias(v) for k, v in names_.items()])
 
-    return stages.run("books", books)
+    out_table = stages.run("books", books)
+    if out_table is not None:
+        write_manifest(spark, f"{out.rstrip('/')}/manifest.json", stages.rows, date=src.date)
+    return out_table

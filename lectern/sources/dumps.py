@@ -43,6 +43,16 @@ class Sources:
         return next((m.group(1) for p in self.paths.values() if p and (m := re.search(r"(\d{4}-\d{2}-\d{2})", p))), None)
 
 
+def _files(folder: str, pattern: str) -> list[str]:
+    """Paths in a folder of any file system that Spark knows, or of this machine without a session, in the order of their names."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return sorted(str(p) for p in Path(folder).glob(pattern))
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or ()
+    return sorted(f.getPath().toString() for f in found)
+
+
 def resolve(folder: str, prefix: str = "dump_", kinds: dict[str, bool] | None = None) -> Sources:
     """The newest file of each kind in a folder, named prefix + kind + '_' + anything; the longest kind that fits counts.
 
@@ -50,11 +60,11 @@ def resolve(folder: str, prefix: str = "dump_", kinds: dict[str, bool] | None =
     """
     kinds = kinds or KINDS
     paths: dict[str, str | None] = dict.fromkeys(kinds)
-    for p in sorted(Path(folder).glob(f"{prefix}*.txt*")):
-        rest = p.name[len(prefix) :]
+    for path in _files(folder, f"{prefix}*.txt*"):
+        rest = path.rsplit("/", 1)[-1][len(prefix) :]
         fits = [k for k in kinds if rest.startswith(f"{k}_") or rest.startswith(f"{k}.")]
         if fits:
-            paths[max(fits, key=len)] = str(p)
+            paths[max(fits, key=len)] = path
     lost = [k for k, needed in kinds.items() if needed and not paths[k]]
     if lost:
         raise FileNotFoundError(f"no dump of {', '.join(lost)} in {folder}")

@@ -5,9 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import datetime, timezone
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +15,22 @@ SAMPLE = f"i bigint, task string, messages {MESSAGES}, meta struct<style:string,
 UNIT_SEPARATOR = "\x1f"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, limit: int | None = None) -> DataFrame:
-    """Records of a JSON-lines file with a declared schema; unreadable lines are dropped."""
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return df.limit(limit) if limit else df
+def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, limit: int | None = None, index: str | None = None) -> DataFrame:
+    """Records of a JSON-lines file with a declared schema; unreadable lines are dropped.
+
+    With index, a column of that name holds each line's number from 0 in the file's order.
+    """
+    if index is None:
+        df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        return df.limit(limit) if limit else df
+    # Line numbers need the order of the file's pieces, which only numbering by partition keeps.
+    lines = spark.createDataFrame(spark.sparkContext.textFile(path).zipWithIndex(), "line string, i bigint")
+    lines = lines.filter(F.col("i") < limit) if limit else lines
+    kept = schema if isinstance(schema, str) else schema.simpleString()
+    x = lines.select(F.col("i").alias(index), F.from_json("line", f"{kept}, _bad string" if isinstance(schema, str) else kept, {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    fields = [f for f in x.select("x.*").columns if f not in ("_bad", index)]
+    good = x.filter(F.col("x._bad").isNull()) if "_bad" in x.select("x.*").columns else x
+    return good.select(index, *[F.col(f"x.{f}") for f in fields])
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -27,11 +38,20 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_vectors(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """key, embedding of a vector store; raises ValueError if any vector has another length."""
+def write_vectors(df: DataFrame, path: str) -> int:
+    """Writes key and embedding of a vector store; returns the number of rows, counted as they are written."""
+    seen = Observation()
+    df.select("key", F.col("embedding").cast("array<float>")).observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path)
+    return seen.get["n"]
+
+
+def read_vectors(spark: SparkSession, path: str, size: int, rows: int | None = None) -> DataFrame:
+    """key, embedding of a vector store; raises ValueError if any vector has another length, or the store another number of rows."""
     df = spark.read.parquet(path)
     if not df.filter(F.col("embedding").isNull() | (F.size("embedding") != size)).limit(1).isEmpty():
         raise ValueError(f"{path}: vectors of another length than {size}")
+    if rows is not None and df.count() != rows:
+        raise ValueError(f"{path}: not {rows} vectors")
     return df
 
 
@@ -96,10 +116,14 @@ class Stages:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def write_manifest(path: str, rows: dict[str, int], **facts: str) -> None:
-    """A small JSON file about a build."""
-    Path(path).write_text(json.dumps({"rows": rows, "built_at": datetime.now(timezone.utc).isoformat(), **facts}, ensure_ascii=False))
+def write_manifest(spark: SparkSession, path: str, rows: dict[str, int], **facts: str | None) -> None:
+    """A small JSON file about a build, in whatever file system path names."""
+    text = json.dumps({"rows": rows, "built_at": datetime.now(timezone.utc).isoformat(), **facts}, ensure_ascii=False)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
-def read_manifest(path: str) -> dict:
-    return json.loads(Path(path).read_text())
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])

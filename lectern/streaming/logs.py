@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.session import shared_dir
 
@@ -21,7 +22,7 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def window_counts(events: DataFrame, time: str, key: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events by window and key; state older than the watermark is dropped, so it stays bounded."""
+    """Events by window and key; state older than the watermark is dropped in append and update mode, so it stays bounded there."""
     events = events.withColumn(time, F.col(time).cast("timestamp"))
     w = F.window(time, size)
     return events.withWatermark(time, late).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")
@@ -32,10 +33,23 @@ def first_seen(events: DataFrame, time: str, keys: list[str], late: str = "2 hou
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns its result table; its state lies in the shared folder."""
+def drained(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Runs a stream over what is there now and returns its result: the newest row of each key.
+
+    Update mode hands on changed rows only and drops state behind the watermark. Every
+    batch is a folder of its own in the shared folder, so a repeated batch replaces itself
+    and nothing is gathered in the driver.
+    """
     spark = stream.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
+
+    def save(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{where}/rows/batch={batch}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{where}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    if not rest:
+        return rows.select(*keys).distinct()
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, *[f"x.{c}" for c in rest])

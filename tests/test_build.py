@@ -67,8 +67,8 @@ def test_files_round_trip(spark, tmp_path):
     assert len(r) == 1 and r[0]["title"] == "a b" and r[0]["authors"] == ["x", "y"] and r[0]["subjects"] == [] and r[0]["first_published"] == 1950
     files.write_jsonl(spark.range(2).selectExpr("id as i", "'é' as task"), str(tmp_path / "j"))
     assert {x["task"] for x in files.read_jsonl(spark, str(tmp_path / "j"), files.SAMPLE).collect()} == {"é"}
-    files.write_manifest(str(tmp_path / "m.json"), {"books": 2}, dump_date="d")
-    assert files.read_manifest(str(tmp_path / "m.json"))["rows"] == {"books": 2}
+    files.write_manifest(spark, str(tmp_path / "m.json"), {"books": 2}, dump_date="d")
+    assert files.read_manifest(spark, str(tmp_path / "m.json"))["rows"] == {"books": 2}
     spark.sql("select 'a' key, array(1f, 2f) embedding").write.parquet(str(tmp_path / "v"))
     assert files.read_vectors(spark, str(tmp_path / "v"), 2).count() == 1
     with pytest.raises(ValueError):

@@ -45,4 +45,4 @@ def test_weak_matches_keep_one(spark):
 def test_stream_drops_repeated_deliveries(spark, tmp_path):
     spark.sql("select timestamp'2024-01-01 00:00:00' ts, explode(array(1, 1, 2)) id").coalesce(1).write.parquet(str(tmp_path / "ev.parquet"))
     s = logs.first_seen(logs.read_stream(spark, str(tmp_path), "ev"), "ts", ["id"])
-    assert sorted(r["id"] for r in logs.drained(s, "first_seen_test", "append").collect()) == [1, 2]
+    assert sorted(r["id"] for r in logs.drained(s, "first_seen_test", ["id"]).collect()) == [1, 2]
