@@ -51,8 +51,6 @@ UP = r"[^\W\d_a-zß-öø-ÿçğışöü]"  # an upper-case letter, near enough
 NAME_WORD = rf"{UP}[\w’'-]+"
 WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _PAIR = re.compile(rf"(?<![\w’'-])(?=({NAME_WORD})\s{{1,2}}(?:{UP}\.?\s{{1,2}})?({NAME_WORD}))")
-_BEFORE = re.compile(r"(?:([^\W\d_]+)[\s.,:;’'-]{1,3})?([^\W\d_]+)[.,:]?\s{1,3}$")
-_AFTER = re.compile(r"[.,]?\s{1,3}([^\W\d_]+)(?:[\s’'-]{1,2}([^\W\d_]+))?")
 _INSIDE = re.compile(r"[a-zß-öø-ÿçğışöü][,’']?\s$")
 #: A word in small letters that is no part of an address or a handle.
 LOWER_WORD = re.compile(r"(?<![\w@.+-])[a-zß-öø-ÿçğışöü][^\W\d_]*(?![\w@+-]|\.\w)")
@@ -71,11 +69,9 @@ _GENERAL = frozenset(map(folded, COMMON_GIVEN))
 
 def contexts(text: str, start: int, end: int) -> tuple[str, str, str, str]:
     """One and two words before a span, and one and two words after it, folded; empty where there are none."""
-    b, a = _BEFORE.search(text[max(0, start - REACH) : start]), _AFTER.match(text, end)
-    l1 = folded(b.group(2)) if b else ""
-    l2 = f"{folded(b.group(1))} {l1}" if b and b.group(1) else ""
-    r1 = folded(a.group(1)) if a else ""
-    r2 = f"{r1} {folded(a.group(2))}" if a and a.group(2) else ""
+    b, a = WORD.findall(text[max(0, start - REACH) : start]), WORD.findall(text[end : end + REACH])
+    l1, r1 = folded(b[-1]) if b else "", folded(a[0]) if a else ""
+    l2, r2 = f"{folded(b[-2])} {l1}" if len(b) > 1 else "", f"{r1} {folded(a[1])}" if len(a) > 1 else ""
     return l1, l2, r1, r2
 
 
