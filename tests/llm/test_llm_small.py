@@ -9,7 +9,7 @@ import pytest
 
 pytest.importorskip("lectern.llm")
 
-from lectern.llm.words import words  # noqa: E402
+from lectern.llm.words import spans, words  # noqa: E402
 from lectern.llm import components, fmindex, leakage, mojibake, namemodel, names, neardup, overlap, packing, pii, terms  # noqa: E402
 
 
@@ -442,3 +442,9 @@ def test_overlap_report_counts_by_class(spark):
     got = {r["split"]: (r["samples"], r["overlapping"], r["pairs"]) for r in overlap.overlap_report(df).collect()}
     assert got == {"test": (2, 1, 2), "valid": (1, 1, 2)}
     assert {tuple(r) for r in overlap.split_overlaps(df).collect()} == {(1, 3), (1, 4), (2, 3), (2, 4)}
+
+
+def test_words_are_runs_of_letters_and_digits():
+    assert words("L’été_2020 ½ ²x İstanbul — ß") == ["l", "été", "2020", "x", "i̇stanbul", "ß"]
+    assert words(None) == [] and words("…") == []
+    assert [("aB c1"[a:b]) for a, b in spans("aB c1")] == ["aB", "c1"]
