@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import scalars, text, words
+from lectern.functions import scalars, text
 
 
 @pytest.mark.parametrize(
@@ -17,12 +17,6 @@ def test_stems_of_the_published_examples():
     assert {w: text.stem(w) for w in want} == want
 
 
-def test_words_are_runs_of_letters_and_digits():
-    assert words.words("L’été_2020 ½ ²x İstanbul — ß") == ["l", "été", "2020", "x", "i̇stanbul", "ß"]
-    assert words.words(None) == [] and words.words("…") == []
-    assert [("aB c1"[a:b]) for a, b in words.spans("aB c1")] == ["aB", "c1"]
-
-
 def test_word_boundaries_know_ascii_only(spark):
     df = spark.createDataFrame([("ğclassic",), ("classic",), ("xclassic",)], "t string")
     assert [r[0] for r in df.select(scalars.ascii_text("t").rlike(r"\bclassic\b")).collect()] == [True, True, False]
