@@ -14,7 +14,10 @@ from lectern.plans.search_queries import _BM25, _COS, _GRADES, _INFO, _ROLE, _SC
 from lectern.tables import table
 
 R = Registry()
-NONE = F.array().cast("array<string>")
+
+
+def _none() -> F.Column:
+    return F.array().cast("array<string>")
 
 
 def _case(column: str, names: dict[str, str]) -> str:
@@ -169,7 +172,7 @@ _PRINT = "md5(coalesce(meta.query_text, '') || chr(31) || array_to_string(list_s
 @R.query("fingerprint_dedup", f"SELECT {_PRINT} AS fingerprint, min(sample_id) AS sample_id FROM samples GROUP BY 1")
 def fingerprint_dedup(s: SparkSession, d: str) -> DataFrame:
     """One sample of each request and set of picks."""
-    keys = F.array_join(F.array_sort(F.array_compact(F.coalesce("meta.picked_keys", NONE))), ",")
+    keys = F.array_join(F.array_sort(F.array_compact(F.coalesce("meta.picked_keys", _none()))), ",")
     return requests.without_copies(table(s, d, "samples"), "sample_id", F.md5(F.concat(F.coalesce("meta.query_text", F.lit("")), F.lit("\x1f"), keys)))
 
 
@@ -289,7 +292,7 @@ R.query("taxonomy")(taxonomy)
 def recommendations(s: SparkSession, d: str) -> DataFrame:
     """Answers by request: rank, score, its strength in words, number of reasons, and whether even the best is weak."""
     x = _books(s, d).filter(F.col("era").isNotNull())
-    n = overlap(F.coalesce("genres", NONE), search._list(TARGET.genres)) + overlap(F.coalesce("moods", NONE), search._list(TARGET.moods))
+    n = overlap(F.coalesce("genres", _none()), search._list(TARGET.genres)) + overlap(F.coalesce("moods", _none()), search._list(TARGET.moods))
     x = x.select(F.col("era").alias("asked"), "work_key", F.round(search.match_score(TARGET), 6).alias("score"), n.alias("reasons"))
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "work_key"))).filter("rank <= 5")
     best = F.max("score").over(Window.partitionBy("asked"))  # over the kept rows
