@@ -124,3 +124,8 @@ WHERE 17 * len(list_intersect(a.w, b.w)) >= 7 * (len(a.w) + len(b.w))""",
 dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM d), ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
 }
+SQL["p3_report"] = f"""WITH p AS ({SQL["p3_found"]}), i AS (SELECT unnest([sample_id_a, sample_id_b]) AS sample_id FROM p), c AS (SELECT sample_id, count(*) AS n FROM i GROUP BY 1)
+SELECT split, source, count(*) AS samples, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM samples LEFT JOIN c USING (sample_id) WHERE split IN ('valid', 'test') GROUP BY 1, 2"""
+SQL["p6_groups"] = f"""WITH RECURSIVE p AS ({SQL["p6_found"]}), e AS (SELECT work_key_a AS a, work_key_b AS b FROM p UNION SELECT work_key_b, work_key_a FROM p),
+r AS (SELECT a AS work_key, a AS other FROM e UNION SELECT e.b, r.other FROM r JOIN e ON e.a = r.work_key), k AS (SELECT a AS work_key, count(*) AS links FROM e GROUP BY 1)
+SELECT work_key, min(other) AS group_key, any_value(links) AS links FROM r JOIN k USING (work_key) GROUP BY 1"""
