@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,61 +21,67 @@ class Label:
     moods: tuple[str, ...] = ()
 
 
-# Genres with their patterns, the patterns that veto them, and the moods they suggest.
-_GENRES = r"""
-roman :: \bfiction\b ; \bnovels?\b ; \bliterary fiction\b ::  :: dusundurucu melankolik
-klasik :: \bclassic(s|al literature)?\b ; \bworld literature\b ; \bcanon\b ; \b19th century\b.*\bfiction\b ::  :: dusundurucu melankolik
-bilim-kurgu :: \bscience fiction\b ; \bsci-?fi\b ; \bspace opera\b ; \bcyberpunk\b ; \btime travel\b ; \bextraterrestrial\b ; \bspace flight\b ; \brobots?\b ::  :: epik dusundurucu gizemli
-fantastik :: \bfantasy\b ; \bmagic\b ; \bwizards?\b ; \bdragons?\b ; \bmythical\b ; \bsword and sorcery\b ; \bepic fantasy\b ; \bimaginary places\b ::  :: epik maceraci umutlu
-distopya :: \bdystopi ; \butopi ; \btotalitarian ; \bpost-?apocalyp ::  :: karanlik dusundurucu gerilimli
-polisiye :: \bdetective\b ; \bmystery\b ; \bcrime\b ; \bmurder\b ; \bwhodunit\b ; \bprivate investigators?\b ; \bpolice procedural\b ::  :: gizemli gerilimli
-gerilim :: \bthriller\b ; \bsuspense\b ; \bespionage\b ; \bspy stories\b ; \bconspirac ::  :: gerilimli karanlik
-korku :: \bhorror\b ; \bghost stories\b ; \bvampires?\b ; \bsupernatural\b ; \bmonsters?\b ; \bhaunted\b ::  :: karanlik gerilimli
-macera :: \badventure\b ; \bsurvival\b ; \bvoyages and travels\b ; \bexplorers?\b ; \bsea stories\b ; \bquests?\b ::  :: maceraci heyecanli
-romantik :: \bromance\b ; \blove stories\b ; \bcourtship\b ; \bman-woman relationships\b ::  :: romantik sicak
-tarihi-kurgu :: \bhistorical fiction\b ; \bhistorical novel ; \bwar stories\b ::  :: epik melankolik
-genc-yetiskin :: \byoung adult\b ; \bteenagers?\b ; \bcoming of age\b ; \bya fiction\b ; \bhigh school\b ::  :: umutlu heyecanli
-cocuk :: \bjuvenile fiction\b ; \bchildren'?s (stories|fiction|literature)\b ; \bpicture books?\b ; \bfairy tales\b ::  :: sicak umutlu
-cizgi-roman :: \bcomics?\b ; \bgraphic novels?\b ; \bmanga\b ; \bcartoons?\b ::  :: heyecanli komik
-siir :: \bpoetry\b ; \bpoems?\b ; \bverse\b ; \bsonnets?\b ::  :: melankolik dusundurucu
-tiyatro :: \bdrama\b ; \bplays\b ; \btheater\b ; \btheatre\b ; \btragedies\b ::  :: dusundurucu melankolik
-deneme :: \bessays?\b ; \bcriticism\b ; \bliterary collections\b ::  :: dusundurucu
-felsefe :: \bphilosoph ; \bethics\b ; \bmetaphysics\b ; \bexistentialism\b ; \bstoicism\b ; \blogic\b ::  :: dusundurucu
-psikoloji :: \bpsychology\b ; \bpsychological\b ; \bmental health\b ; \bcognitive\b ; \bpsychiatry\b ; \bbehavioral science\b :: \bpsychological fiction\b ; \bmental healing\b :: dusundurucu ilham-verici
-kisisel-gelisim :: \bself-?help\b ; \bself-?actualization\b ; \bpersonal development\b ; \bhabits?\b ; \bmotivation\b ; \bproductivity\b ::  :: ilham-verici umutlu
-tarih :: \bhistory\b ; \bhistoriograph ; \bworld war\b ; \bancient\b ; \bcivilization\b ; \bempire\b :: \bhistorical fiction\b ; \bart history\b ; \bhistory and criticism\b ; \bcase histories\b :: dusundurucu epik
-biyografi :: \bbiograph ; \bautobiograph ; \bmemoirs?\b ; \bdiaries\b ; \bpersonal narratives\b ::  :: ilham-verici melankolik
-bilim :: \bscience\b ; \bphysics\b ; \bbiology\b ; \bastronomy\b ; \bchemistry\b ; \bevolution\b ; \bmathematics\b ; \bneuroscience\b :: \bscience fiction\b ; \bsocial science ; \bpolitical science\b ; \bcomputer science\b ; \blibrary science\b ; \bmilitary art and science\b ; \bscience fantasy\b :: dusundurucu ilham-verici
-teknoloji :: \bcomputer\b ; \bprogramming\b ; \bartificial intelligence\b ; \bsoftware\b ; \bengineering\b ; \binternet\b ; \bdata\b ::  :: dusundurucu
-is-ekonomi :: \bbusiness\b ; \beconomics\b ; \bmanagement\b ; \bfinance\b ; \bentrepreneurship\b ; \bmarketing\b ; \binvestment ::  :: ilham-verici
-politika :: \bpolitic ; \bgovernment\b ; \bdemocracy\b ; \bsocial science\b ; \binternational relations\b ; \bsociolog ::  :: dusundurucu karanlik
-din-maneviyat :: \breligion\b ; \bspiritual ; \btheolog ; \bislam\b ; \bchristian ; \bbuddhis ; \bmeditation\b ; \bmysticism\b ::  :: sakinlestirici dusundurucu
-sanat :: \bart history\b ; \bfine arts?\b ; \bart criticism\b ; \bpainting\b ; \bphotograph ; \barchitecture\b ; \bsculpture\b ; \bmusic\b ; \bcinema\b ; \bmotion pictures?\b ; \bexhibitions\b :: \bmilitary art\b ; \bart of war\b :: ilham-verici
-gezi :: \bdescription and travel\b ; \btravel guides?\b ; \bguidebooks?\b ; \btravelers'? writings\b ; \btourism\b ::  :: maceraci sakinlestirici
-yemek :: \bcooking\b ; \bcookbooks?\b ; \brecipes\b ; \bgastronom ::  :: sicak sakinlestirici
-mizah :: \bhumor\b ; \bsatire\b ; \bcomic fiction\b ; \bwit\b ; \bparody\b ::  :: komik
-saglik :: \bhealth\b ; \bmedicine\b ; \bfitness\b ; \bnutrition\b ; \bdiet\b ::  :: ilham-verici sakinlestirici
-"""
 # Specific genres come first, general ones last.
 _FIRST = "bilim-kurgu fantastik distopya polisiye gerilim korku cizgi-roman siir tiyatro tarihi-kurgu mizah cocuk genc-yetiskin macera romantik".split()
 _LAST = "roman klasik".split()
+
+
+def _ranked(labels: list[Label]) -> tuple[Label, ...]:
+    return tuple(replace(x, rank=1 if x.slug in _FIRST else 3 if x.slug in _LAST else 2) for x in labels)
+
+
+# Genres with the patterns that give them, those that veto them, and the moods they suggest.
+GENRES = _ranked([
+    Label("roman", (r"\bfiction\b", r"\bnovels?\b", r"\bliterary fiction\b"), moods=("dusundurucu", "melankolik")),
+    Label("klasik", (r"\bclassic(s|al literature)?\b", r"\bworld literature\b", r"\bcanon\b", r"\b19th century\b.*\bfiction\b"), moods=("dusundurucu", "melankolik")),
+    Label("bilim-kurgu", (r"\bscience fiction\b", r"\bsci-?fi\b", r"\bspace opera\b", r"\bcyberpunk\b", r"\btime travel\b", r"\bextraterrestrial\b", r"\bspace flight\b", r"\brobots?\b"), moods=("epik", "dusundurucu", "gizemli")),
+    Label("fantastik", (r"\bfantasy\b", r"\bmagic\b", r"\bwizards?\b", r"\bdragons?\b", r"\bmythical\b", r"\bsword and sorcery\b", r"\bepic fantasy\b", r"\bimaginary places\b"), moods=("epik", "maceraci", "umutlu")),
+    Label("distopya", (r"\bdystopi", r"\butopi", r"\btotalitarian", r"\bpost-?apocalyp"), moods=("karanlik", "dusundurucu", "gerilimli")),
+    Label("polisiye", (r"\bdetective\b", r"\bmystery\b", r"\bcrime\b", r"\bmurder\b", r"\bwhodunit\b", r"\bprivate investigators?\b", r"\bpolice procedural\b"), moods=("gizemli", "gerilimli")),
+    Label("gerilim", (r"\bthriller\b", r"\bsuspense\b", r"\bespionage\b", r"\bspy stories\b", r"\bconspirac"), moods=("gerilimli", "karanlik")),
+    Label("korku", (r"\bhorror\b", r"\bghost stories\b", r"\bvampires?\b", r"\bsupernatural\b", r"\bmonsters?\b", r"\bhaunted\b"), moods=("karanlik", "gerilimli")),
+    Label("macera", (r"\badventure\b", r"\bsurvival\b", r"\bvoyages and travels\b", r"\bexplorers?\b", r"\bsea stories\b", r"\bquests?\b"), moods=("maceraci", "heyecanli")),
+    Label("romantik", (r"\bromance\b", r"\blove stories\b", r"\bcourtship\b", r"\bman-woman relationships\b"), moods=("romantik", "sicak")),
+    Label("tarihi-kurgu", (r"\bhistorical fiction\b", r"\bhistorical novel", r"\bwar stories\b"), moods=("epik", "melankolik")),
+    Label("genc-yetiskin", (r"\byoung adult\b", r"\bteenagers?\b", r"\bcoming of age\b", r"\bya fiction\b", r"\bhigh school\b"), moods=("umutlu", "heyecanli")),
+    Label("cocuk", (r"\bjuvenile fiction\b", r"\bchildren'?s (stories|fiction|literature)\b", r"\bpicture books?\b", r"\bfairy tales\b"), moods=("sicak", "umutlu")),
+    Label("cizgi-roman", (r"\bcomics?\b", r"\bgraphic novels?\b", r"\bmanga\b", r"\bcartoons?\b"), moods=("heyecanli", "komik")),
+    Label("siir", (r"\bpoetry\b", r"\bpoems?\b", r"\bverse\b", r"\bsonnets?\b"), moods=("melankolik", "dusundurucu")),
+    Label("tiyatro", (r"\bdrama\b", r"\bplays\b", r"\btheater\b", r"\btheatre\b", r"\btragedies\b"), moods=("dusundurucu", "melankolik")),
+    Label("deneme", (r"\bessays?\b", r"\bcriticism\b", r"\bliterary collections\b"), moods=("dusundurucu",)),
+    Label("felsefe", (r"\bphilosoph", r"\bethics\b", r"\bmetaphysics\b", r"\bexistentialism\b", r"\bstoicism\b", r"\blogic\b"), moods=("dusundurucu",)),
+    Label("psikoloji", (r"\bpsychology\b", r"\bpsychological\b", r"\bmental health\b", r"\bcognitive\b", r"\bpsychiatry\b", r"\bbehavioral science\b"), veto=(r"\bpsychological fiction\b", r"\bmental healing\b"), moods=("dusundurucu", "ilham-verici")),
+    Label("kisisel-gelisim", (r"\bself-?help\b", r"\bself-?actualization\b", r"\bpersonal development\b", r"\bhabits?\b", r"\bmotivation\b", r"\bproductivity\b"), moods=("ilham-verici", "umutlu")),
+    Label("tarih", (r"\bhistory\b", r"\bhistoriograph", r"\bworld war\b", r"\bancient\b", r"\bcivilization\b", r"\bempire\b"), veto=(r"\bhistorical fiction\b", r"\bart history\b", r"\bhistory and criticism\b", r"\bcase histories\b"), moods=("dusundurucu", "epik")),
+    Label("biyografi", (r"\bbiograph", r"\bautobiograph", r"\bmemoirs?\b", r"\bdiaries\b", r"\bpersonal narratives\b"), moods=("ilham-verici", "melankolik")),
+    Label("bilim", (r"\bscience\b", r"\bphysics\b", r"\bbiology\b", r"\bastronomy\b", r"\bchemistry\b", r"\bevolution\b", r"\bmathematics\b", r"\bneuroscience\b"), veto=(r"\bscience fiction\b", r"\bsocial science", r"\bpolitical science\b", r"\bcomputer science\b", r"\blibrary science\b", r"\bmilitary art and science\b", r"\bscience fantasy\b"), moods=("dusundurucu", "ilham-verici")),
+    Label("teknoloji", (r"\bcomputer\b", r"\bprogramming\b", r"\bartificial intelligence\b", r"\bsoftware\b", r"\bengineering\b", r"\binternet\b", r"\bdata\b"), moods=("dusundurucu",)),
+    Label("is-ekonomi", (r"\bbusiness\b", r"\beconomics\b", r"\bmanagement\b", r"\bfinance\b", r"\bentrepreneurship\b", r"\bmarketing\b", r"\binvestment"), moods=("ilham-verici",)),
+    Label("politika", (r"\bpolitic", r"\bgovernment\b", r"\bdemocracy\b", r"\bsocial science\b", r"\binternational relations\b", r"\bsociolog"), moods=("dusundurucu", "karanlik")),
+    Label("din-maneviyat", (r"\breligion\b", r"\bspiritual", r"\btheolog", r"\bislam\b", r"\bchristian", r"\bbuddhis", r"\bmeditation\b", r"\bmysticism\b"), moods=("sakinlestirici", "dusundurucu")),
+    Label("sanat", (r"\bart history\b", r"\bfine arts?\b", r"\bart criticism\b", r"\bpainting\b", r"\bphotograph", r"\barchitecture\b", r"\bsculpture\b", r"\bmusic\b", r"\bcinema\b", r"\bmotion pictures?\b", r"\bexhibitions\b"), veto=(r"\bmilitary art\b", r"\bart of war\b"), moods=("ilham-verici",)),
+    Label("gezi", (r"\bdescription and travel\b", r"\btravel guides?\b", r"\bguidebooks?\b", r"\btravelers'? writings\b", r"\btourism\b"), moods=("maceraci", "sakinlestirici")),
+    Label("yemek", (r"\bcooking\b", r"\bcookbooks?\b", r"\brecipes\b", r"\bgastronom"), moods=("sicak", "sakinlestirici")),
+    Label("mizah", (r"\bhumor\b", r"\bsatire\b", r"\bcomic fiction\b", r"\bwit\b", r"\bparody\b"), moods=("komik",)),
+    Label("saglik", (r"\bhealth\b", r"\bmedicine\b", r"\bfitness\b", r"\bnutrition\b", r"\bdiet\b"), moods=("ilham-verici", "sakinlestirici")),
+])
 # Moods with their patterns.
-_MOODS = r"""
-heyecanli :: \bthriller\b ; \baction\b ; \badventure\b ; \bchase\b ; \bfast-paced\b ; \bescapes\b
-dusundurucu :: \bphilosoph ; \bexistential ; \bmoral\b ; \bethics\b ; \bideas\b ; \bintrospect ; \bconsciousness\b
-karanlik :: \bdark\b ; \btragedy\b ; \bviolence\b ; \bdespair\b ; \bnoir\b ; \bdystopi ; \bhorror\b ; \bdeath\b
-romantik :: \bromance\b ; \blove\b ; \bpassion\b ; \bcourtship\b
-komik :: \bhumor\b ; \bcomed ; \bsatire\b ; \bfunny\b ; \bwit\b
-sakinlestirici :: \bmeditation\b ; \bmindfulness\b ; \bnature\b ; \bgardening\b ; \bslow\b ; \bcozy\b ; \bcalm\b
-ilham-verici :: \binspiration\b ; \bmotivation\b ; \bsuccess\b ; \bcourage\b ; \bperseverance\b ; \bhope\b
-melankolik :: \bgrief\b ; \bloss\b ; \bnostalgi ; \bloneliness\b ; \bmelanchol ; \bsorrow\b
-gerilimli :: \bsuspense\b ; \btension\b ; \bpsychological thriller\b ; \bparanoia\b
-sicak :: \bfamily\b ; \bfriendship\b ; \bcommunity\b ; \bheartwarming\b ; \bdomestic fiction\b
-epik :: \bepic\b ; \bsaga\b ; \bheroes\b ; \bmytholog ; \blegends\b ; \bempire\b ; \bwar\b
-gizemli :: \bmystery\b ; \bsecrets?\b ; \bpuzzle\b ; \benigma\b ; \bdetective\b ; \boccult\b
-umutlu :: \bhope\b ; \bredemption\b ; \bhealing\b ; \brecovery\b ; \boptimis
-maceraci :: \bexploration\b ; \bvoyages\b ; \bwilderness\b ; \bexpedition\b ; \btreasure\b
-"""
+MOODS = (
+    Label("heyecanli", (r"\bthriller\b", r"\baction\b", r"\badventure\b", r"\bchase\b", r"\bfast-paced\b", r"\bescapes\b")),
+    Label("dusundurucu", (r"\bphilosoph", r"\bexistential", r"\bmoral\b", r"\bethics\b", r"\bideas\b", r"\bintrospect", r"\bconsciousness\b")),
+    Label("karanlik", (r"\bdark\b", r"\btragedy\b", r"\bviolence\b", r"\bdespair\b", r"\bnoir\b", r"\bdystopi", r"\bhorror\b", r"\bdeath\b")),
+    Label("romantik", (r"\bromance\b", r"\blove\b", r"\bpassion\b", r"\bcourtship\b")),
+    Label("komik", (r"\bhumor\b", r"\bcomed", r"\bsatire\b", r"\bfunny\b", r"\bwit\b")),
+    Label("sakinlestirici", (r"\bmeditation\b", r"\bmindfulness\b", r"\bnature\b", r"\bgardening\b", r"\bslow\b", r"\bcozy\b", r"\bcalm\b")),
+    Label("ilham-verici", (r"\binspiration\b", r"\bmotivation\b", r"\bsuccess\b", r"\bcourage\b", r"\bperseverance\b", r"\bhope\b")),
+    Label("melankolik", (r"\bgrief\b", r"\bloss\b", r"\bnostalgi", r"\bloneliness\b", r"\bmelanchol", r"\bsorrow\b")),
+    Label("gerilimli", (r"\bsuspense\b", r"\btension\b", r"\bpsychological thriller\b", r"\bparanoia\b")),
+    Label("sicak", (r"\bfamily\b", r"\bfriendship\b", r"\bcommunity\b", r"\bheartwarming\b", r"\bdomestic fiction\b")),
+    Label("epik", (r"\bepic\b", r"\bsaga\b", r"\bheroes\b", r"\bmytholog", r"\blegends\b", r"\bempire\b", r"\bwar\b")),
+    Label("gizemli", (r"\bmystery\b", r"\bsecrets?\b", r"\bpuzzle\b", r"\benigma\b", r"\bdetective\b", r"\boccult\b")),
+    Label("umutlu", (r"\bhope\b", r"\bredemption\b", r"\bhealing\b", r"\brecovery\b", r"\boptimis")),
+    Label("maceraci", (r"\bexploration\b", r"\bvoyages\b", r"\bwilderness\b", r"\bexpedition\b", r"\btreasure\b")),
+)
 # Subjects that call for a content note.
 CONTENT_FLAGS = {
     "suicide": "intihar", "sexual abuse": "cinsel istismar", "child abuse": "çocuk istismarı", "rape": "cinsel şiddet",
@@ -86,16 +92,6 @@ CONTENT_FLAGS = {
 }
 
 
-def _read(table: str) -> tuple[Label, ...]:
-    out = []
-    for line in table.strip().splitlines():
-        slug, patterns, veto, moods = [*(c.strip() for c in line.split("::")), "", ""][:4]
-        lists = [tuple(p.strip() for p in c.split(" ; ") if p.strip()) for c in (patterns, veto)]
-        out.append(Label(slug, *lists, 1 if slug in _FIRST else 3 if slug in _LAST else 2, tuple(moods.split())))
-    return tuple(out)
-
-
-GENRES, MOODS = _read(_GENRES), _read(_MOODS)
 GENRES_BY_RANK = tuple(sorted(GENRES, key=lambda g: g.rank))
 
 

@@ -22,8 +22,11 @@ GENRE_NAMES = {
 MOOD_NAMES = {
     "heyecanli": "Heyecan Verici", "dusundurucu": "Düşündürücü", "karanlik": "Karanlık", "romantik": "Romantik", "komik": "Komik", "sakinlestirici": "Sakinleştirici",
     "ilham-verici": "İlham Verici", "melankolik": "Melankolik", "gerilimli": "Gerilimli", "sicak": "Sıcak ve Samimi", "epik": "Epik", "gizemli": "Gizemli",
+    "umutlu": "Umut Veren", "maceraci": "Maceracı",
 }
 ERA_NAMES = {"klasik": "Klasik (1900 öncesi)", "modern": "Modern (1900-1989)", "cagdas": "Çağdaş (1990 ve sonrası)"}
+LENGTH_NAMES = {"kisa": "Kısa (200 sayfaya kadar)", "orta": "Orta (200-400 sayfa)", "uzun": "Uzun (400-700 sayfa)", "tugla": "Tuğla (700+ sayfa)"}
+AUDIENCE_NAMES = {"cocuk": "Çocuk", "genc": "Genç", "yetiskin": "Yetişkin"}
 
 
 def names_of(slugs: Column | str, table: dict[str, str]) -> Column:
@@ -32,14 +35,21 @@ def names_of(slugs: Column | str, table: dict[str, str]) -> Column:
     return F.array_join(F.array_compact(F.transform(slugs, lambda s: F.try_element_at(m, s))), ", ")
 
 
-def request_block(query: Column, genres: Column, moods: Column, era: Column, languages: Column, limit: Column, exclude: Column | None = None) -> Column:
+def name_of(slug: Column, table: dict[str, str]) -> Column:
+    """Name of a slug; an unknown one stands for itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), slug), slug)
+
+
+def request_block(query: Column, genres: Column, moods: Column, era: Column, length: Column, audience: Column, languages: Column, limit: Column, exclude: Column | None = None) -> Column:
     """A request as it stands in a prompt: the reader's words, filters that are set, titles already read, number of answers."""
     none = F.array().cast("array<string>")
     some = lambda c: F.size(F.coalesce(c, none)) > 0
     filters = F.array_compact(F.array(
         F.when(some(genres), F.concat(F.lit("tür: "), names_of(genres, GENRE_NAMES))),
         F.when(some(moods), F.concat(F.lit("ruh hali: "), names_of(moods, MOOD_NAMES))),
-        F.when(F.length(era) > 0, F.concat(F.lit("dönem: "), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in ERA_NAMES.items() for x in p]), era), era))),
+        F.when(F.length(era) > 0, F.concat(F.lit("dönem: "), name_of(era, ERA_NAMES))),
+        F.when(F.length(length) > 0, F.concat(F.lit("uzunluk: "), name_of(length, LENGTH_NAMES))),
+        F.when(F.length(audience) > 0, F.concat(F.lit("okur: "), name_of(audience, AUDIENCE_NAMES))),
         F.when(some(languages), F.concat(F.lit("dil: "), F.array_join(languages, ", "))),
     ))
     exclude = none if exclude is None else exclude
@@ -99,7 +109,7 @@ def label_keywords(most: int = 4) -> list[tuple[str, str, int, str]]:
 
 def taxonomy(spark: SparkSession) -> DataFrame:
     """kind, position, slug, name of all labels."""
-    kinds = (("genre", GENRE_NAMES), ("mood", MOOD_NAMES), ("era", ERA_NAMES))
+    kinds = (("genre", GENRE_NAMES), ("mood", MOOD_NAMES), ("era", ERA_NAMES), ("length", LENGTH_NAMES), ("audience", AUDIENCE_NAMES))
     return spark.createDataFrame([(k, i, s, n) for k, t in kinds for i, (s, n) in enumerate(t.items())], "kind string, position int, slug string, name string")
 
 

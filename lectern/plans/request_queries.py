@@ -87,12 +87,12 @@ def parsed_requests(s: SparkSession, d: str) -> DataFrame:
 _NAMED = "array_to_string(list_filter(list_transform(coalesce({0}, []), lambda x: {1}), lambda x: x IS NOT NULL), ', ')"
 
 
-@R.query("request_block", f"""WITH {NEWEST}, f AS (SELECT work_key, title, era, languages, {_NAMED.format('genres', _case('x', requests.GENRE_NAMES))} AS g, {_NAMED.format('moods', _case('x', requests.MOOD_NAMES))} AS m, genres, moods FROM nb),
-l AS (SELECT *, array_to_string(list_filter([CASE WHEN len(coalesce(genres, [])) > 0 THEN 'tür: ' || g END, CASE WHEN len(coalesce(moods, [])) > 0 THEN 'ruh hali: ' || m END, CASE WHEN length(era) > 0 THEN 'dönem: ' || coalesce({_case('era', requests.ERA_NAMES)}, era) END, CASE WHEN len(coalesce(languages, [])) > 0 THEN 'dil: ' || array_to_string(languages, ', ') END], lambda x: x IS NOT NULL), ' | ') AS filters FROM f)
+@R.query("request_block", f"""WITH {NEWEST}, f AS (SELECT work_key, title, era, length_bucket, audience, languages, {_NAMED.format('genres', _case('x', requests.GENRE_NAMES))} AS g, {_NAMED.format('moods', _case('x', requests.MOOD_NAMES))} AS m, genres, moods FROM nb),
+l AS (SELECT *, array_to_string(list_filter([CASE WHEN len(coalesce(genres, [])) > 0 THEN 'tür: ' || g END, CASE WHEN len(coalesce(moods, [])) > 0 THEN 'ruh hali: ' || m END, CASE WHEN length(era) > 0 THEN 'dönem: ' || coalesce({_case('era', requests.ERA_NAMES)}, era) END, CASE WHEN length(length_bucket) > 0 THEN 'uzunluk: ' || coalesce({_case('length_bucket', requests.LENGTH_NAMES)}, length_bucket) END, CASE WHEN length(audience) > 0 THEN 'okur: ' || coalesce({_case('audience', requests.AUDIENCE_NAMES)}, audience) END, CASE WHEN len(coalesce(languages, [])) > 0 THEN 'dil: ' || array_to_string(languages, ', ') END], lambda x: x IS NOT NULL), ' | ') AS filters FROM f)
 SELECT work_key, 'Okurun sözleri: ' || CASE WHEN length(title) > 0 THEN title ELSE '(belirtmedi)' END || CASE WHEN filters <> '' THEN chr(10) || 'Filtreler: ' || filters ELSE '' END || chr(10) || 'İstenen öneri sayısı: 3' AS block FROM l""")
 def request_block(s: SparkSession, d: str) -> DataFrame:
     """Requests in prompts, with a book's facts as what is asked for."""
-    block = requests.request_block(F.col("title"), F.col("genres"), F.col("moods"), F.col("era"), F.col("languages"), F.lit(3))
+    block = requests.request_block(F.col("title"), F.col("genres"), F.col("moods"), F.col("era"), F.col("length_bucket"), F.col("audience"), F.col("languages"), F.lit(3))
     return _books(s, d).select("work_key", block.alias("block"))
 
 

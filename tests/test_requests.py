@@ -11,9 +11,9 @@ from lectern.sources import files
 
 
 def test_request_block_and_names(spark):
-    df = spark.createDataFrame([("deniz", ["roman", "siir", "nothing"], ["epik"], "modern", ["tur"], ["A", "B"]), (None, None, None, None, None, None)], "q string, g array<string>, m array<string>, e string, l array<string>, x array<string>")
-    got = [r[0] for r in df.select(requests.request_block(*[F.col(c) for c in "qgmel"], F.lit(3), F.col("x"))).collect()]
-    assert got[0] == "Okurun sözleri: deniz\nFiltreler: tür: Roman, Şiir | ruh hali: Epik | dönem: Modern (1900-1989) | dil: tur\nZaten okudu: A ve B\nİstenen öneri sayısı: 3"
+    df = spark.createDataFrame([("deniz", ["roman", "siir", "nothing"], ["epik"], "modern", "orta", "genc", ["tur"], ["A", "B"]), (None,) * 8], "q string, g array<string>, m array<string>, e string, n string, a string, l array<string>, x array<string>")
+    got = [r[0] for r in df.select(requests.request_block(*[F.col(c) for c in "qgmenal"], F.lit(3), F.col("x"))).collect()]
+    assert got[0] == "Okurun sözleri: deniz\nFiltreler: tür: Roman, Şiir | ruh hali: Epik | dönem: Modern (1900-1989) | uzunluk: Orta (200-400 sayfa) | okur: Genç | dil: tur\nZaten okudu: A ve B\nİstenen öneri sayısı: 3"
     assert got[1] == "Okurun sözleri: (belirtmedi)\nİstenen öneri sayısı: 3"
 
 
@@ -37,7 +37,7 @@ def test_label_keywords_begin_patterns():
     for k, s, _, w in requests.label_keywords():
         got[k, s].append(w)
     assert got["genre", "klasik"][0] == "classic" and got["genre", "roman"] == ["fiction", "novels", "literary fiction"] and all(len(v) <= 4 for v in got.values())
-    assert set(requests.GENRE_NAMES) == {g.slug for g in labels.GENRES}
+    assert set(requests.MOOD_NAMES) == {m.slug for m in labels.MOODS} and set(requests.GENRE_NAMES) == {g.slug for g in labels.GENRES}
 
 
 def test_draws_follow_weights(spark):
