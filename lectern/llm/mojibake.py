@@ -6,13 +6,14 @@ first, and leave the counts if they turn out damaged. Every chain
 "encode again as the wrongly assumed codec, decode as the true one" that applies to a
 text, or to a passage of it, gives a candidate; the likeliest candidate is accepted if
 it beats the text as it stands by a margin, which is validated for chains through UTF-8
-and for single-byte recodings apart, on records damaged on purpose in either way. What can't be encoded back (replacement characters, bare control codes)
+and for single-byte recodings apart, on all clean records, damaged on purpose in either way. What can't be encoded back (replacement characters, bare control codes)
 is reported without a restored text.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -36,8 +37,8 @@ MU = 3.0
 SUSPICIOUS, RARE, EXPECTED = -11.0, -7.5, -2.5
 #: What a chain must gain for each character that it changes, and what each further step of a chain costs.
 GAIN, STEP = 1.5, 1.0
-#: Margins are validated on so many clean records at most, and are never smaller than this, through UTF-8 and for single-byte recodings.
-VALIDATION_ROWS, LEAST_MARGIN, LEAST_RECODING = 400, 3.0, 5.0
+#: Margins are never smaller than this, through UTF-8 and for single-byte recodings.
+LEAST_MARGIN, LEAST_RECODING = 3.0, 5.0
 #: A suspect value must gain so much to leave the counts.
 LEAVES = 5.0
 #: A recoding makes a rare letter suspect if what it becomes is so many times as frequent. A suspect value is damaged
@@ -484,31 +485,30 @@ def recoded(first: CharModel, left: CharModel, text: str) -> bool:
 
 @dataclass(frozen=True)
 class Margins:
-    """What a candidate must gain, by kind of chain, and the error rates on the validation records: clean ones changed, damaged ones missed."""
+    """What a candidate must gain, by kind of chain, the error rates on the validation records (clean ones changed, damaged ones missed), and their number."""
 
     utf8: float
     recoding: float
     rates: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
+    records: int = 0
 
 
-def examine(model: CharModel, text: str, suspicious: np.ndarray, margins: Margins) -> tuple[bool, str | None, str | None]:
-    """(damaged, restored text or None, chain) of one text; suspicious are its positions worth a look."""
-    damaged, chain, now = False, None, text
-    lost = bool(_LOST.search(text))
+def scored(model: CharModel, text: str, suspicious: np.ndarray) -> tuple[tuple, tuple]:
+    """(gain, restored text or None where something stays lost, chain) of the best chain through UTF-8, and of the best recoding; suspicious are the text's positions worth a look."""
+    utf8 = recoding = (0.0, None, None)
+    whole = lambda t: None if _LOST.search(t) else t
     if _ALONE.search(text) or model.undo.applies(text):
         got = _best(model, text, utf8_candidates(text, model.undo, model.may))
-        if got and got[0] > margins.utf8:
-            damaged, now, chain = True, got[1], "utf-8 read as " + ", ".join(got[2])
-    if len(suspicious) and not damaged:
+        if got:
+            utf8 = max(0.0, got[0]), whole(got[1]), "utf-8 read as " + ", ".join(got[2])
+    if len(suspicious):
         spans = [m.span() for m in _PASSAGE.finditer(text) if m.end() > m.start()]
         odd = [k for k, (a, b) in enumerate(spans) if ((suspicious >= a) & (suspicious < b)).any()]
         got = _best_recoding(model, [text[spans[k][0] : spans[k][1]] for k in odd])
-        if got and got[0] > margins.recoding:
-            damaged, chain = True, f"{got[2][1]} read as {got[2][0]}"
+        if got:
             fixed = {odd[i]: c for i, c in got[1].items()}
-            now = "".join(fixed.get(k, text[a:b]) for k, (a, b) in enumerate(spans))
-    left = bool(_LOST.search(now))
-    return damaged or lost, now if damaged and not left else None, chain
+            recoding = max(0.0, got[0]), whole("".join(fixed.get(k, text[a:b]) for k, (a, b) in enumerate(spans))), f"{got[2][1]} read as {got[2][0]}"
+    return utf8, recoding
 
 
 def _look(model: CharModel, texts: list[str]) -> list[np.ndarray]:
@@ -537,48 +537,85 @@ def _look(model: CharModel, texts: list[str]) -> list[np.ndarray]:
     return [odd[cuts[i] : cuts[i + 1]] - starts[i] for i in range(len(texts))]
 
 
-def _margin(kept: list[float], broken: list[float], least: float) -> tuple[float, tuple[float, float]]:
-    """A margin between what clean records gain and what restoring damaged copies of them gains, and both error rates.
+class _Misread(dict):
+    """str.translate table that turns what is outside ASCII into its UTF-8 bytes, read in a codec."""
 
-    A few percent of the sample may be damaged in ways that only the model can tell.
+    def __init__(self, codec: str) -> None:
+        self.chars = _tables()[1][codec]
+
+    def __missing__(self, o: int) -> int | str:
+        got = self[o] = o if o < 128 else "".join(self.chars[b] for b in chr(o).encode())
+        return got
+
+
+@functools.cache
+def _misread(codec: str) -> _Misread:
+    return _Misread(codec)
+
+
+#: Single-byte recodings to damage records with: what they were written in, and what they are read as.
+_PAIRS = [(b, a) for a in CODECS for b in CODECS if a != b]
+
+
+def _applicable(high: frozenset[str], memo: dict[frozenset, list[int]]) -> list[int]:
+    """The recodings of _PAIRS that change a set of characters without loss, kept."""
+    got = memo.get(high)
+    if got is None:
+        if len(memo) > 50_000:
+            memo.clear()
+        got = memo[high] = []
+        for k, (written_in, read_as) in enumerate(_PAIRS):
+            if high.issubset(_tables()[0][written_in]):
+                table = _recoding(written_in, read_as)
+                image = [table.get(ord(c), c) for c in high]
+                if any(x not in high for x in image) and not any(_LOST.search(x) for x in image):
+                    got.append(k)
+    return got
+
+
+def _restoring(model: CharModel, texts: list[str], hashes: list[int], memo: dict[frozenset, list[int]]) -> list[tuple[float, float | None]]:
+    """What restoring a copy of each clean text gains: one damaged by UTF-8 read as a single-byte codec, and one by a recoding (None where each loses something); its hash decides on the codecs."""
+    bad = [t.translate(_misread(CODECS[h % len(CODECS)])) for t, h in zip(texts, hashes, strict=True)]
+    for t, h in zip(texts, hashes, strict=True):
+        fits = _applicable(frozenset(c for c in t if c > "\x7f"), memo)
+        written_in, read_as = _PAIRS[fits[h // len(CODECS) % len(fits)]] if fits else (None, None)
+        bad.append(t.translate(_recoding(written_in, read_as)) if fits else t)
+    # The copies differ from the texts near characters outside ASCII only.
+    good, utf8, single = np.split(model.totals([*texts, *bad], True), 3) if texts else [np.zeros(0)] * 3
+    return [(g - u - STEP, g - s - STEP if b != t else None) for g, u, s, t, b in zip(good.tolist(), utf8.tolist(), single.tolist(), texts, bad[len(texts) :], strict=True)]
+
+
+def _quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """The quantile of all values, in order and each as often as counted, as np.quantile has it."""
+    at = (counts.sum() - 1) * q
+    low, high = (float(values[np.searchsorted(np.cumsum(counts), k, side="right")]) for k in (math.floor(at), math.ceil(at)))
+    return low + (high - low) * (at - math.floor(at))
+
+
+def _margin(kept: tuple[np.ndarray, np.ndarray], broken: tuple[np.ndarray, np.ndarray], least: float) -> tuple[float, tuple[float, float]]:
+    """A margin between what clean records gain and what restoring damaged copies of them gains, and both error rates, from values with their numbers.
+
+    A few percent of the records may be damaged in ways that only the model can tell.
     """
-    if not broken:
+    if not len(broken[0]):
         return max(least, LEAVES), (0.0, 0.0)
-    low, high = float(np.quantile(kept, 0.97)), float(np.quantile(broken, 0.02))
+    low, high = _quantile(*kept, 0.97), _quantile(*broken, 0.02)
     margin = max(least, min(low + 1.0, (low + high) / 2) if high > low else low + 1.0)
-    return margin, (float(np.mean(np.array(kept) > margin)), float(np.mean(np.array(broken) <= margin)))
+    return margin, (float(kept[1][kept[0] > margin].sum() / kept[1].sum()), float(broken[1][broken[0] <= margin].sum() / broken[1].sum()))
 
 
-def validated_margins(model: CharModel, clean: list[str]) -> Margins:
-    """Margins for both kinds of chains, and the error rates of each.
+def validated_margins(scores: DataFrame) -> Margins:
+    """Margins for both kinds of chains, and the error rates of each, from all clean records of scores.
 
-    clean is a bounded sample of clean records; each is damaged by UTF-8 read as a
-    single-byte codec and by one single-byte codec read as another, where that changes
-    it without loss.
+    Gains count to the hundredth, so what is collected grows with their range only.
     """
-    utf8: tuple[list, list] = ([0.0], [])
-    single: tuple[list, list] = ([0.0], [])
-    pairs = [(a, b) for a in CODECS for b in CODECS if a != b]
-    for k, (text, look) in enumerate(zip(clean, _look(model, clean), strict=True)):
-        got = _best(model, text, utf8_candidates(text, model.undo, model.may))
-        utf8[0].append(max(0.0, got[0] if got else 0.0))
-        parts = [p for p in _PASSAGE.findall(text) if not p.isascii()]
-        got = _best_recoding(model, parts) if len(look) else None
-        single[0].append(max(0.0, got[0] if got else 0.0))
-        if text.isascii():
-            continue
-        chars = _tables()[1][CODECS[k % len(CODECS)]]
-        bad = "".join(c if c < "\x80" else "".join(chars[b] for b in c.encode()) for c in text)
-        utf8[1].append(float(np.subtract(*model.totals([text, bad]))) - STEP)
-        for step in range(len(pairs)):
-            read_as, written_in = pairs[(k * 31 + step) % len(pairs)]
-            bad = text.translate(_recoding(written_in, read_as))
-            fits = all(c < "\x80" or c in _tables()[0][written_in] for c in text)
-            if fits and bad != text and not _LOST.search(bad):
-                single[1].append(float(np.subtract(*model.totals([text, bad]))) - STEP)
-                break
-    (u, ru), (r, rr) = _margin(*utf8, LEAST_MARGIN), _margin(*single, LEAST_RECODING)
-    return Margins(u, r, (ru, rr))
+    kinds = ("utf8_gain", "recoding_gain", "utf8_back", "recoding_back")
+    cells = F.array(*[F.struct(F.lit(i).alias("kind"), F.round(c, 2).alias("value")) for i, c in enumerate(kinds)])
+    got = scores.filter("clean").select(F.inline(cells)).filter("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n")).orderBy("kind", "value").toArrow()
+    kind, value, n = (got.column(c).to_numpy() for c in ("kind", "value", "n"))
+    kept, single, *broken = [(value[kind == i], n[kind == i]) for i in range(len(kinds))]
+    (u, ru), (r, rr) = _margin(kept, broken[0], LEAST_MARGIN), _margin(single, broken[1], LEAST_RECODING)
+    return Margins(u, r, (ru, rr), int(kept[1].sum()))
 
 
 def field_texts(books: DataFrame, key: str = "work_key", fields: tuple[str, ...] = ("title", "description")) -> DataFrame:
@@ -587,31 +624,49 @@ def field_texts(books: DataFrame, key: str = "work_key", fields: tuple[str, ...]
     return books.filter(F.col(key).isNotNull()).select(key, F.inline(cells)).filter(F.length("text") > 0).distinct()
 
 
-def damaged(books: DataFrame, key: str = "work_key", fields: tuple[str, ...] = ("title", "description")) -> DataFrame:
-    """key, field_name, text, restored (null where the original can't be known), chain of all damaged values.
+def scores_of(rows: DataFrame, model: CharModel, key: str) -> DataFrame:
+    """Of all values outside ASCII: whether they are clean, the best chain of each kind with its gain, and for clean ones what restoring damaged copies gains.
 
-    Nulls and empty strings are no cases; repeated values count once; whole texts are
-    read; an empty table gives an empty result; other columns are ignored.
+    key, field_name and text stand only where a gain may pass a margin or something is lost.
     """
-    rows = spread(written(field_texts(books, key, fields), "field-texts"))
-    model = train(rows)
-    # Records in the order of their hash; those outside ASCII tell more.
-    sample = rows.select("text").filter(F.expr("octet_length(text) > length(text)")).orderBy(F.xxhash64("text")).limit(VALIDATION_ROWS)
-    undo = Undo(plausible)
-    margins = validated_margins(model, [r[0] for r in sample.collect() if is_clean(r[0], undo)])
     shared = rows.sparkSession.sparkContext.broadcast(_packed(np.stack(model.counts)))
+    named = [(key, pa.string()), ("field_name", pa.string()), ("text", pa.string()), ("lost", pa.bool_()), ("clean", pa.bool_())]
+    for kind in ("utf8", "recoding"):
+        named += [(f"{kind}_gain", pa.float64()), (f"{kind}_text", pa.string()), (f"{kind}_chain", pa.string()), (f"{kind}_back", pa.float64())]
+    schema = pa.schema(named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(shared.value)
+        m, undo, memo = _model(shared.value), Undo(plausible), {}
         for whole in batches:
             # What is ASCII throughout holds no wrongly decoded characters.
             whole = whole.filter(pa.array([not t.isascii() for t in whole.column(2).to_pylist()], pa.bool_()))
             for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                texts = b.column(2).to_pylist()
-                got = [(i, *x) for i, (t, look) in enumerate(zip(texts, _look(m, texts), strict=True)) if (x := examine(m, t, look, margins))[0]]
-                take = pa.array([g[0] for g in got], pa.int64())
-                cols = [*[b.column(k).take(take) for k in range(3)], pa.array([g[2] for g in got], pa.string()), pa.array([g[3] for g in got], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, [key, "field_name", "text", "restored", "chain"])
-
-    return rows.mapInArrow(run, f"{key} string, field_name string, text string, restored string, chain string")
+                keys, fields, texts, hashes = (c.to_pylist() for c in whole.slice(at, 500).columns)
+                clean = [is_clean(t, undo) for t in texts]
+                back = iter(_restoring(m, [t for t, c in zip(texts, clean, strict=True) if c], [h for h, c in zip(hashes, clean, strict=True) if c], memo))
+                out = []
+                for k, f, t, c, look in zip(keys, fields, texts, clean, _look(m, texts), strict=True):
+                    lost, (utf8, recoding) = bool(_LOST.search(t)), scored(m, t, look)
+                    u, r = next(back) if c else (None, None)
+                    may_u, may_r = utf8[0] > LEAST_MARGIN, recoding[0] > LEAST_RECODING
+                    named_ = (k, f, t) if lost or may_u or may_r else (None, None, None)
+                    none = (None, None)
+                    out.append((*named_, lost, c, utf8[0], *(utf8[1:] if may_u else none), u, recoding[0], *(recoding[1:] if may_r else none), r))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    types = {pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
+    return rows.select(key, "field_name", "text", F.expr(f"pmod(xxhash64(text), {len(CODECS) * len(_PAIRS) * 1000})").alias("h")).mapInArrow(run, ", ".join(f"{f.name} {types[f.type]}" for f in schema))
+
+
+def damaged(books: DataFrame, key: str = "work_key", fields: tuple[str, ...] = ("title", "description")) -> DataFrame:
+    """key, field_name, text, restored (null where the original can't be known), chain of all damaged values.
+
+    Nulls and empty strings are no cases; repeated values count once; whole texts are
+    read; an empty table gives an empty result; other columns are ignored.
+    """
+    rows = spread(written(field_texts(books, key, fields), "field-texts"))
+    scores = written(scores_of(rows, train(rows), key), "text-scores")
+    margins = validated_margins(scores)
+    utf8, recoding = F.col("utf8_gain") > margins.utf8, F.col("recoding_gain") > margins.recoding
+    pick = lambda what: F.when(utf8, F.col(f"utf8_{what}")).when(recoding, F.col(f"recoding_{what}"))
+    return scores.filter(utf8 | recoding | F.col("lost")).select(key, "field_name", "text", pick("text").alias("restored"), pick("chain").alias("chain"))

@@ -51,6 +51,21 @@ def test_mojibake_that_recurs(spark):
     assert got == {k: t.replace("þ", "ş") for k, t in bad.items()}
 
 
+def test_mojibake_margins_come_from_all_clean_records(spark):
+    texts = [f"La fenêtre de l’été {n} garde le secret." if n % 9 else f"Það er þýtt {n} úr gömlu máli." for n in range(700)]
+    rows = mojibake.field_texts(books(spark, [(f"c{i}", t, None) for i, t in enumerate(texts)] + [("a", "plain", None), ("lost", "k�y", None)]))
+    scores = mojibake.scores_of(rows, mojibake.train(rows), "work_key").toPandas()
+    got = mojibake.validated_margins(mojibake.scores_of(rows, mojibake.train(rows), "work_key"))
+    clean = scores[scores["clean"]]
+    assert got.records == len(clean) == 700 and clean["utf8_back"].notna().all() and clean["recoding_back"].notna().any()
+    for margin, (kept, back), least in ((got.utf8, ("utf8_gain", "utf8_back"), mojibake.LEAST_MARGIN), (got.recoding, ("recoding_gain", "recoding_back"), mojibake.LEAST_RECODING)):
+        low, high = np.quantile(clean[kept], 0.97), np.quantile(clean[back].dropna(), 0.02)
+        assert margin == pytest.approx(max(least, min(low + 1.0, (low + high) / 2) if high > low else low + 1.0), abs=0.02)
+    values, counts = np.array([0.0, 1.5, 4.0]), np.array([5, 2, 3])
+    for q in (0.0, 0.02, 0.5, 0.65, 0.97, 1.0):
+        assert mojibake._quantile(values, counts, q) == pytest.approx(np.quantile(np.repeat(values, counts), q))
+
+
 def test_mojibake_of_another_script_and_both_kinds(spark):
     japanese = "日本語の本".encode().decode("latin-1")
     rows = [(f"c{i}", None, t) for i, t in enumerate(CLEAN)] + [("jp", japanese, None)]
