@@ -19,8 +19,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
@@ -34,8 +35,6 @@ SHORT_FAMILY = -7.0
 
 #: A short form has been seen in so many families, in this share of them beside the full name, so many times as often as by chance.
 SHORT_LEAST, SHORT_SHARE, SHORT_LIFT = 3, 0.35, 6.0
-#: Families of more given names than this say nothing about short forms.
-FAMILY_MOST = 8
 #: Short forms of given names in common use (fixed values), without accents; a weak prior beside what is learned.
 COMMON_SHORT = {
     "mike": "michael", "mick": "michael", "jenny": "jennifer", "jen": "jennifer", "andy": "andrew", "drew": "andrew", "sasha": "alexander", "alex": "alexander alexandra",
@@ -297,23 +296,42 @@ def _first(given: str = "given") -> F.Column:
 def _short_forms(forms: DataFrame) -> dict[str, list[str]]:
     """Full names of each short form: pairs of first given names that share families far more often than by chance.
 
-    Evidence are families with FAMILY_MOST given names at most; a name that more people
-    bear says nothing. The table holds what at least SHORT_LEAST families and one in
-    100,000 of all show, so it has at most 100,000 rows.
+    All families count, whatever the number of their given names. By chance, a family of
+    m given names out of M in all holds one seen in f families with a probability of
+    1 - exp(-f m / M), so that common names meet in large families. Exact: a pair that shares the wanted number of v's
+    families shares one of those left without the largest of them, one less than
+    wanted. So names meet there first, and only for pairs that can still be good the
+    other families are counted, which keeps a very common family name from pairing all
+    of its given names. What is collected grows with the number of short forms.
     """
     one = forms.filter("kind = 'P'").select("family", _first().alias("g")).filter(F.length("g") > 1).distinct()
-    size = one.groupBy("family").agg(F.count("*").alias("m")).filter(F.col("m").between(2, FAMILY_MOST))
-    total = one.select("family").distinct().count()
-    bears = one.groupBy("g").agg(F.count("*").alias("f"))
-    small = one.join(size, "family").select("family", "g")
-    both = small.select("family", F.col("g").alias("v")).join(small.select("family", F.col("g").alias("c")), "family").filter("v <> c").groupBy("v", "c").agg(F.count("*").alias("n"))
-    both = both.filter(F.col("n") >= max(SHORT_LEAST, 1e-5 * total)).join(bears.select(F.col("g").alias("v"), F.col("f").alias("fv")), "v").join(bears.select(F.col("g").alias("c"), F.col("f").alias("fc")), "c")
-    # A typing error is none; a short form is seen in fewer families than its full name.
-    good = both.filter((F.col("fv") < F.col("fc")) & (F.col("n") >= SHORT_SHARE * F.col("fv")) & (F.col("n") * total >= SHORT_LIFT * F.col("fv") * F.col("fc")))
-    good = good.filter((F.levenshtein("v", "c") > 1) & (F.col("n") >= SHORT_LEAST))
+    size = one.groupBy("family").agg(F.count("*").alias("m"))
+    bears = one.groupBy("g").agg(F.count("*").alias("f")).filter(F.col("f") >= SHORT_LEAST)
+    in_order = F.row_number().over(Window.partitionBy("g").orderBy("m", "family"))
+    names = written(one.join(bears, "g").join(size, "family").select("family", "g", "f", in_order.alias("place")), "first-names")
+    sizes = size.groupBy("m").agg(F.count("*").alias("k")).orderBy("m").toArrow()  # sizes differ, so they are few: their sum is at most the rows
+    m, k = (sizes.column(x).to_numpy().astype(np.float64) for x in ("m", "k"))
+
+    def by_chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = m / max(float((m * k).sum()), 1.0)
+        for b in batches:
+            fs, at = np.unique(np.stack([b.column(x).to_numpy() for x in ("fv", "fc")], 1), axis=0, return_inverse=True)
+            got = [(np.expm1(-np.outer(x[:, 0], share)) * np.expm1(-np.outer(x[:, 1], share))) @ k for x in np.split(fs, range(500, len(fs), 500))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(got)[at.ravel()])], [*b.schema.names, "chance"])
+
+    need = F.greatest(F.lit(SHORT_LEAST).cast("bigint"), F.ceil(SHORT_SHARE * F.col("f")))
+    v = names.select("family", F.col("g").alias("v"), F.col("f").alias("fv"), need.alias("need"), (F.col("place") <= F.col("f") - need + 1).alias("first"))
+    c = names.select("family", F.col("g").alias("c"), F.col("f").alias("fc"))
+    # A short form is seen in fewer families than its full name; a typing error is none.
+    met = v.filter("first").join(c, "family").filter("fv < fc").groupBy("v", "c").agg(F.count("*").alias("n"), F.first("fv").alias("fv"), F.first("fc").alias("fc"), F.first("need").alias("need"))
+    met = met.filter(F.levenshtein("v", "c") > 1).mapInArrow(by_chance, "v string, c string, n bigint, fv bigint, fc bigint, need bigint, chance double")
+    wanted = F.greatest(F.col("need"), SHORT_LIFT * F.col("chance"))
+    met = written(met.filter(F.col("n") + F.col("need") - 1 >= wanted), "names-that-meet")
+    rest = v.filter("not first").select("family", "v").join(met.select("v", "c"), "v").join(c.select("family", "c"), ["family", "c"]).groupBy("v", "c").agg(F.count("*").alias("more"))
+    good = met.join(rest, ["v", "c"], "left").filter(F.col("n") + F.coalesce("more", F.lit(0)) >= wanted)
     out: dict[str, list[str]] = {}
-    for v, c in sorted((r[0], r[1]) for r in good.select("v", "c").collect()):
-        out.setdefault(v, []).append(c)
+    for v_, c_ in sorted((r[0], r[1]) for r in good.select("v", "c").collect()):
+        out.setdefault(v_, []).append(c_)
     return out
 
 

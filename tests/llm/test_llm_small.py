@@ -1,6 +1,7 @@
 """Operators on training text against brute force and hand-made cases."""
 
 import itertools
+import math
 import os
 import random
 
@@ -450,6 +451,42 @@ def test_short_forms_are_learned(spark):
     assert got == {(f"Rini {f}ton", f"Xaverina {f}ton") for f in families[:8]} | {(f"X. {f}ton", f"Xaverina {f}ton") for f in families[20:23]}
 
 
+def test_short_forms_are_learned_in_large_families(spark):
+    """The short form is seen in families of twelve given names only; its other pairs there are chance."""
+    families = [f"fam{a}{b}ton" for a in "bcdfgklm" for b in "aeiou"]
+    word = lambda n: "".join("bcdfghklmn"[int(d)] + "a" for d in f"{n:03}")
+    rows = [(f, "xaverina") for f in families] + [(f, "rini") for f in families[:8]] + [(f, f"{word(10 * i + k)}x") for i, f in enumerate(families[:8]) for k in range(10)]
+    rows += [(f"{word(i)}ski", ("ottokar", "balduin")[i % 2]) for i in range(1000)] + [(f, "ottokar") for f in families[:8]] + [("hot", g) for g in ("rini", "ottokar", "xaverina", *(f"{word(i)}y" for i in range(300)))]
+    forms = spark.createDataFrame([("P", f, g, 1) for f, g in rows], "kind string, family string, given string, n bigint")
+    assert names._short_forms(forms) == {"rini": ["xaverina"]}
+    assert names._short_forms(forms.limit(0)) == {}
+
+
+def test_short_forms_against_brute_force(spark):
+    rng = random.Random(4)
+    full = [f"{w}ina" for w in ("bara", "kolu", "mite", "sado", "feru")]
+    rows = set()
+    for i in range(600):
+        f = f"f{i}"
+        rows |= {(f, g) for g in full if rng.random() < 0.06} | {(f, f"n{rng.randrange(200)}w") for _ in range(rng.choice([0, 1, 2, 15]))}
+    for k, c in enumerate(full):
+        have = sorted(f for f, g in rows if g == c)
+        rows |= {(f, f"short{k}") for f in rng.sample(have, 12)} | {(f"f{rng.randrange(600)}", f"short{k}") for _ in range(10)}
+    of, by = {}, {}
+    for f, g in rows:
+        of.setdefault(g, set()).add(f)
+        by.setdefault(f, set()).add(g)
+    sizes = [len(x) for x in by.values()]
+    has = lambda f, m: 1 - math.exp(-f * m / sum(sizes))
+    want = {}
+    for v, c in itertools.permutations(sorted(of), 2):
+        n, fv, fc = len(of[v] & of[c]), len(of[v]), len(of[c])
+        if fv < fc and n >= max(names.SHORT_LEAST, names.SHORT_SHARE * fv) and n >= names.SHORT_LIFT * sum(has(fv, m) * has(fc, m) for m in sizes) and names.osa(v, c) > 1:
+            want.setdefault(v, []).append(c)
+    forms = spark.createDataFrame([("P", f, g, 1) for f, g in sorted(rows)], "kind string, family string, given string, n bigint")
+    assert len(want) >= 5 and names._short_forms(forms) == want
+
+
 def test_overlap_report_counts_by_class(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, "test", "s", text), (2, "valid", "s", text + " more"), (3, "train", "s", text), (4, "train", "s", text), (5, "test", "s", "nothing alike"), (3, "train", "s", text)]
