@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with related texts (problem 7).
 
-Texts are sized in tokens of a public tokenizer. Each text keeps its rarest terms with
-their BM25 weights; texts that share such terms come together in shards of bounded
-size, each with an inverted index. The largest unused text opens a container; its
+Texts are sized in tokens of a public tokenizer. Each text keeps all of its terms with
+their frequencies; texts that share rare terms come together in shards of bounded
+size, each with an inverted index of all terms. The largest unused text opens a container; its
 unused BM25 neighbours, and theirs, fill the window greedily, and what fits best closes
 it, a neighbour first. Containers that stay too empty are filled once more in the same
 way. Shards follow from the texts alone, so any cluster gives the same containers.
@@ -32,8 +32,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHARD_TEXTS, SHARD_LOOSE = 4000, 8000
 #: A container filled less than this is emptied for the second round; a neighbour closes a container if it leaves no more than the rest.
 FULL_ENOUGH = 0.98
-#: Terms of a text that are indexed, and those that decide on its shard.
-TERMS, ROUTE = 24, 6
+#: Rarest terms of a text that decide on its shard.
+ROUTE = 6
 #: Slots of the table of document frequencies; bounds its size whatever the text. Words that share a slot count together.
 SLOTS = 1 << 22
 K1, B = 1.2, 0.75
@@ -88,84 +88,103 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, float, int]:
     return df, float(n[slot == -1].sum()) / max(texts, 1), texts
 
 
-_SIZED = "doc_id bigint, size bigint, route bigint, terms array<int>, weights array<float>"
+_SIZED = "doc_id bigint, size bigint, route bigint, words bigint, terms binary"
 
 
-def _sized(docs: DataFrame, tokenizer: str, df: np.ndarray, mean: float, n: int) -> DataFrame:
-    """Size in tokens, route, and the rarest terms (as slots) with their BM25 weights of each text.
+def _vocabulary(df: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the terms of more than one text, commonest first, and their BM25 idf. A term's number is its place there."""
+    at = np.flatnonzero(df > 1)
+    at = at[np.lexsort((-at, -df[at]))]
+    return at.astype(np.int32), np.log1p((n - df[at].astype(np.float64) + 0.5) / (df[at] + 0.5))
+
+
+def coded(terms: np.ndarray, tf: np.ndarray) -> bytes:
+    """Numbers of a text's terms, ascending, as gaps, and their frequencies; byte by byte of all values, so that zeros stand together and compress."""
+    return np.concatenate((np.diff(terms, prepend=0), tf)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def decoded(code: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What coded made a code of."""
+    gaps, tf = np.frombuffer(np.frombuffer(code, np.uint8).reshape(4, -1).T.tobytes(), "<u4").astype(np.int64).reshape(2, -1)
+    return np.cumsum(gaps), tf
+
+
+def _sized(docs: DataFrame, tokenizer: str, slots: np.ndarray) -> DataFrame:
+    """Size in tokens, route, number of words, and all terms with their frequencies (see coded) of each text.
 
     Terms of one text only are left out, as they have no neighbours. The route is the
     least hash among the very rarest terms, so texts that share them tend to meet.
     """
-    sc = docs.sparkSession.sparkContext
-    at = np.flatnonzero(df)
-    shared = sc.broadcast((load_ranks(tokenizer), at.astype(np.int32), df[at]))
+    shared = docs.sparkSession.sparkContext.broadcast((load_ranks(tokenizer), slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, slots, counts = shared.value
+        ranks, slots = shared.value
         encode = encoder(ranks)
-        freq = np.zeros(SLOTS, np.float32)
-        freq[slots] = counts
-        idf = np.log1p((n - freq + 0.5) / (freq + 0.5))
+        number = np.full(SLOTS, -1, np.int32)
+        number[slots] = np.arange(len(slots))
         slot: dict[str, int] = {}
         for b in batches:
             texts = b.column(1).to_pylist()
             sizes = [len(encode(t)) for t in texts]
             if len(slot) > 1_000_000:
                 slot.clear()
-            counts_ = [Counter(words(t)) for t in texts]
-            for tf in counts_:
+            counts = [Counter(words(t)) for t in texts]
+            for tf in counts:
                 for w in tf:
                     if w not in slot:
                         slot[w] = _slot(w)
-            ids = np.array([slot[w] for tf in counts_ for w in tf], np.int64)
-            f = np.array([n for tf in counts_ for n in tf.values()], np.float64)
-            row = np.repeat(np.arange(len(texts)), [len(tf) for tf in counts_])
-            dl = np.bincount(row, f, minlength=len(texts))
-            # The rarest terms of each text come first; those of one text only are left out.
-            keep = np.flatnonzero(freq[ids] > 1)
-            keep = keep[np.lexsort((ids[keep], freq[ids[keep]], row[keep]))]
-            first = np.searchsorted(row[keep], np.arange(len(texts)))
-            place = np.arange(len(keep)) - first[row[keep]]
-            keep, place = keep[place < TERMS], place[place < TERMS]
+            ids = number[np.array([slot[w] for tf in counts for w in tf], np.int64)]
+            f = np.array([n for tf in counts for n in tf.values()], np.int64)
+            row = np.repeat(np.arange(len(texts)), [len(tf) for tf in counts])
+            dl = np.bincount(row, f, minlength=len(texts)).astype(np.int64)
+            keep = np.flatnonzero(ids >= 0)
+            keep = keep[np.lexsort((ids[keep], row[keep]))]
             ids, f, row = ids[keep], f[keep], row[keep]
-            weight = idf[ids] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl[row] / max(mean, 1e-9)))
-            h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            ends = np.searchsorted(row, np.arange(len(texts)), side="right")
+            # The rarest terms of each text come last.
+            rarest = np.arange(len(ids)) >= ends[row] - ROUTE
+            h = slots[ids[rarest]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             h = (h ^ (h >> np.uint64(29))) >> np.uint64(1)
             routes = np.full(len(texts), np.iinfo(np.int64).max, np.int64)
-            np.minimum.at(routes, row[place < ROUTE], h[place < ROUTE].astype(np.int64))
+            np.minimum.at(routes, row[rarest], h.astype(np.int64))
             routes[routes == np.iinfo(np.int64).max] = 0
-            off = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(texts))))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (ids.astype(np.int32), weight.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(routes), *lists], ["doc_id", "size", "route", "terms", "weights"])
+            codes = [coded(i, n) for i, n in zip(np.split(ids, ends[:-1]), np.split(f, ends[:-1]), strict=True)] if texts else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(routes), pa.array(dl), pa.array(codes, pa.binary())], ["doc_id", "size", "route", "words", "terms"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIZED)
 
 
 class Index:
-    """Inverted index of a shard's rarest terms."""
+    """Inverted index of a shard's terms."""
 
     def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> None:
         n = np.array([len(t) for t in terms], np.int64)
-        flat = np.concatenate(terms) if len(terms) else np.zeros(0, np.int32)
+        flat = np.concatenate(terms) if len(terms) else np.zeros(0, np.int64)
         vocab, t = np.unique(flat, return_inverse=True)
         order = np.argsort(t, kind="stable")
-        self.doc = np.repeat(np.arange(len(n)), n)[order]
-        self.weight = (np.concatenate(weights) if len(weights) else np.zeros(0, np.float32))[order]
-        self.off = np.searchsorted(t[order], np.arange(len(vocab) + 1))
+        cuts = np.searchsorted(t[order], np.arange(1, len(vocab)))
+        self.doc = np.split(np.repeat(np.arange(len(n)), n)[order], cuts)
+        self.weight = np.split((np.concatenate(weights) if len(weights) else np.zeros(0))[order], cuts)
         self.terms = np.split(t, np.cumsum(n)[:-1]) if len(n) else []
+        self.small = np.min_scalar_type(max(len(n) - 1, 0))
         self.memo: dict[int, np.ndarray] = {}
 
     def near(self, i: int) -> np.ndarray:
-        """Other texts of the shard that share a term with i, best BM25 score first; kept, as all specs ask alike."""
+        """Other texts of the shard that share a term with i, best BM25 score first."""
+        terms = self.terms[i].tolist()
+        if not terms:
+            return np.zeros(0, np.int64)
+        score = np.bincount(np.concatenate([self.doc[t] for t in terms]), np.concatenate([self.weight[t] for t in terms]), minlength=len(self.terms))
+        score[i] = 0.0
+        docs = np.flatnonzero(score)
+        # Score to four places and number in one key, which sorts faster than an order of the scores.
+        return np.sort(docs - (np.rint(score[docs] * 1e4).astype(np.int64) << 32)) & 0xFFFFFFFF
+
+    def kept(self, i: int) -> np.ndarray:
+        """near, kept, for where several specs ask alike."""
         got = self.memo.get(i)
         if got is None:
-            at = [np.arange(self.off[t], self.off[t + 1]) for t in self.terms[i]]
-            at = np.concatenate(at) if at else np.zeros(0, np.int64)
-            docs, where = np.unique(self.doc[at], return_inverse=True)
-            score = np.bincount(where, self.weight[at], minlength=len(docs))
-            docs = docs[np.lexsort((docs, -np.round(score, 4)))]
-            got = self.memo[i] = docs[docs != i]
+            got = self.memo[i] = self.near(i).astype(self.small)
         return got
 
 
@@ -220,13 +239,15 @@ def pack(sizes: np.ndarray, capacity: int, near) -> list[list[tuple[int, bool]]]
                 if not len(early):
                     break
                 take(int(some[early[0]]), True)
-        related = {int(x) for i, _ in bag for x in near(i)[:200].tolist()} if free.by_size and free.by_size[0][0] <= room else set()
+        related = np.zeros(len(sizes), bool)
+        for i, _ in bag if free.by_size and free.by_size[0][0] <= room else ():
+            related[near(i)] = True
         while free.by_size and (i := free.largest(room)) is not None:
             # Of the items that fit equally well, a neighbour.
             size = int(sizes[i])
             k = bisect.bisect_left(free.by_size, (size, -1))
-            i = next((x for _, x in free.by_size[k : bisect.bisect_right(free.by_size, (size, 1 << 60))] if x in related), i)
-            take(i, i in related)
+            i = next((x for _, x in free.by_size[k : bisect.bisect_right(free.by_size, (size, 1 << 60))] if related[x]), i)
+            take(i, bool(related[i]))
         out.append(bag)
     return out
 
@@ -242,9 +263,14 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], schema=_ARROW)
 
 
-def _lists(c: pa.ChunkedArray) -> list[np.ndarray]:
-    flat = c.combine_chunks()
-    return np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1]) if len(flat) else []
+def _index(t: pa.Table, idf: np.ndarray, mean: float) -> Index:
+    """Index of the texts of t, with the BM25 weights of their terms."""
+    terms, weights = [], []
+    for code, dl in zip(t.column("terms").to_pylist(), t.column("words").to_pylist(), strict=True):
+        ids, f = decoded(code)
+        terms.append(ids)
+        weights.append(idf[ids] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / max(mean, 1e-9))))
+    return Index(terms, weights)
 
 
 def _sharded(rows: DataFrame, by: list[str], n: int, target: int) -> DataFrame:
@@ -265,21 +291,23 @@ def containers(docs: DataFrame, specs: DataFrame, tokenizer: str | None = None)
     too). specs: spec_id, capacity_tokens (a short list of settings; rows that are null
     or below 1 are ignored). Out: spec_id, container_id, doc_id, part (0 unless the text
     alone exceeds the capacity), start_token, n_tokens, position in the container, and
-    whether a BM25 neighbour stands before it there. Of the texts only sizes and rarest
-    terms are shuffled.
+    whether a BM25 neighbour stands before it there. Of the texts only sizes and terms are
+    shuffled.
     """
     spark = docs.sparkSession
-    wanted = sorted({(int(r[0]), int(r[1])) for r in specs.select("spec_id", "capacity_tokens").limit(1000).collect() if r[0] is not None and r[1] and r[1] > 0})
+    wanted = sorted({(int(r[0]), int(r[1])) for r in specs.select("spec_id", "capacity_tokens").collect() if r[0] is not None and r[1] and r[1] > 0})
     capacity = dict(wanted)
     slim = spread(docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text"))
     df, mean, n = _frequencies(slim)
-    sized = written(_sized(slim, tokenizer or tokenizer_path(spark), df, mean, n), "packing-texts")
+    slots, idf = _vocabulary(df, n)
+    sized = written(_sized(slim, tokenizer or tokenizer_path(spark), slots), "packing-texts")
+    weigh = spark.sparkContext.broadcast(idf)
 
     def first(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("doc_id")
         label = f"a{key[0].as_py()}-{key[1].as_py()}"
         ids, size = t.column("doc_id").to_pylist(), t.column("size").to_numpy()
-        index = Index(_lists(t.column("terms")), _lists(t.column("weights")))
+        index = _index(t, weigh.value, mean)
         rows = []
         for spec, cap in wanted:
             k = 0
@@ -293,7 +321,7 @@ def containers(docs: DataFrame, specs: DataFrame, tokenizer: str | None = None)
             place[item] = np.arange(len(item))
 
             def near(i: int, item: np.ndarray = item, place: np.ndarray = place) -> np.ndarray:
-                p = place[index.near(int(item[i]))]
+                p = place[index.kept(int(item[i]))]
                 return p[p >= 0]
 
             for bag in pack(rest[item], cap, near):
@@ -314,13 +342,13 @@ def containers(docs: DataFrame, specs: DataFrame, tokenizer: str | None = None)
     def again(key: tuple, t: pa.Table) -> pa.Table:
         spec, label = key[0].as_py(), f"b{key[1].as_py()}-{key[2].as_py()}"
         t = t.sort_by([("doc_id", "ascending"), ("part", "ascending")])
-        index = Index(_lists(t.column("terms")), _lists(t.column("weights")))
+        index = _index(t, weigh.value, mean)
         held = list(zip(*[t.column(c).to_pylist() for c in ("doc_id", "part", "start_token", "n_tokens")], strict=True))
         bags = pack(t.column("n_tokens").to_numpy(), capacity[spec], index.near)
         return _table([(spec, f"{label}-{k}", *held[i], p, related) for k, bag in enumerate(bags) for p, (i, related) in enumerate(bag)])
 
     most = loose.groupBy("spec_id").count().agg(F.max("count")).first()[0] or 0
-    with_terms = loose.join(sized.select("doc_id", "route", "terms", "weights"), "doc_id")
+    with_terms = loose.join(sized.select("doc_id", "route", "words", "terms"), "doc_id")
     pieces = _sharded(with_terms, ["spec_id"], most, SHARD_LOOSE)
     return kept.select(*_NAMES).unionByName(pieces.groupBy("spec_id", "g", "sub").applyInArrow(again, _OUT))
 

@@ -276,6 +276,38 @@ def test_bm25_prefers_shared_rare_words():
     assert index.near(0).tolist() == [2, 1] and index.near(3).tolist() == []
 
 
+def test_packing_codes_terms():
+    for ids, tf in (([], []), ([0], [1]), ([0, 1, 300, 70_000, 4_000_000], [1, 300, 2, 70_000, 1])):
+        got = packing.decoded(packing.coded(np.array(ids, np.int32), np.array(tf, np.int64)))
+        assert [x.tolist() for x in got] == [ids, tf]
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer here")
+def test_packing_takes_neighbours_by_all_terms(spark):
+    """Long texts whose rarest words are shared in pairs, but whose many other words tell which texts are alike."""
+    topics = [[f"w{c}{k:03}" for k in range(150)] for c in "abcd"]
+    texts = [(i, " ".join(topics[i % 4] + [f"r{(i + 1) // 2 % 8}v{k}" for k in range(24)])) for i in range(16)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    sized = packing._sized(docs, TOKENIZER, packing._vocabulary(packing._frequencies(docs)[0], 16)[0]).collect()
+    assert {len(packing.decoded(bytes(r["terms"]))[0]) for r in sized} == {174}
+    room = 4 * max(r["size"] for r in sized)
+    specs = spark.createDataFrame([(1, "s", room)], "spec_id int, spec_name string, capacity_tokens int")
+    boxes = {}
+    for r in packing.containers(docs, specs).collect():
+        boxes.setdefault(r["container_id"], set()).add(r["doc_id"] % 4)
+    assert len(boxes) == 4 and all(len(b) == 1 for b in boxes.values())
+
+
+def test_packing_closes_with_any_neighbour():
+    """A neighbour beyond the 200th is one too."""
+    sizes = np.array([60, *[50] * 250, 30, 30])
+    near = {0: np.arange(1, 252)}
+    bags = packing.pack(sizes, 100, lambda i: near.get(i, np.zeros(0, np.int64)))
+    assert bags[0] == [(0, False), (251, True)]
+    index = packing.Index([np.array([1])] * 302, [np.ones(1)] * 302)
+    assert len(index.near(0)) == 301 == len(index.kept(0)) and index.kept(301).tolist() == list(range(301))
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer here")
 def test_packing_puts_related_texts_together(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TEXTS", 250)
